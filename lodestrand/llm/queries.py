@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrand.llm import oracle, sampling, topn
+from lodestrand.llm import components, consensus, oracle, sampling, topn
 from lodestrand.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +34,71 @@ def p3_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sample(spark, sf_dir)[0]
 
 
+LABELS = ("REQUIRED", "SUFFICIENT", "CONTEXT", "IRRELEVANT", "HARMFUL")
+ITEM = ("question_id", "path_id", "evidence_id")
+
+
+def _votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return consensus.valid_votes(
+        table(spark, sf_dir, "evidence_annotations"), ITEM, "annotator_code", "label", "annotation_role", "annotated_at", LABELS,
+        "annotation_id", "harmful_reason_code",
+    )
+
+
+def _named(y: str) -> Column:
+    return F.array(*map(F.lit, LABELS))[F.col(y)]
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The consensus label of each item with two annotators or more."""
+    voting = consensus.Voting(_votes(spark, sf_dir), len(LABELS))
+    return voting.consensus().select("_item.*", _named("_y").alias("consensus_label"))
+
+
+def p4_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The harmful_reason_code of each item whose consensus is HARMFUL: the one most given, then the first in order."""
+    voting = consensus.Voting(_votes(spark, sf_dir), len(LABELS))
+    harmful = voting.consensus().where(F.col("_y") == LABELS.index("HARMFUL"))
+    given = F.transform(F.filter("_v", lambda v: v["_why"].isNotNull() & (v["_x"] == LABELS.index("HARMFUL"))), lambda v: v["_why"])
+    best = F.array_max(F.transform(F.array_distinct("_w"), lambda w: F.struct(F.size(F.filter("_w", lambda o: o == w)).alias("n"), w.alias("w"))))
+    return harmful.withColumn("_w", given).select("_item.*", best["w"].alias("harmful_reason_code"))
+
+
+def p4_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Krippendorff's alpha over the labels that stand."""
+    return consensus.krippendorff(_votes(spark, sf_dir), len(LABELS)).select(
+        "items", "ratings", *[F.round(c, 9).alias(c) for c in ("observed", "expected", "alpha")]
+    )
+
+
+def p4_reliability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Votes, accuracy and informativeness of each annotator, each against the consensus of the others."""
+    voting = consensus.Voting(_votes(spark, sf_dir), len(LABELS))
+    return spark.createDataFrame(voting.reliability(), "annotator_code string, votes bigint, accuracy double, bits double")
+
+
+def _members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return components.components(table(spark, sf_dir, "queries"), "question_id", {"source_group_id": components.letters_and_number})
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Test questions whose source group is, within the batch, in the test lists of more than one fold."""
+    return components.straddling(
+        table(spark, sf_dir, "fold_partitions"), _members(spark, sf_dir), "batch_id", "outer_test_fold", "test_question_ids", "question_id"
+    )
+
+
+def p5_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A split for each question that keeps each source group whole."""
+    assigned, _ = components.assign_splits(_members(spark, sf_dir), table(spark, sf_dir, "split_targets"))
+    return assigned.select("question_id", "component", "split_name")
+
+
+def p5_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shares that the new splits reach."""
+    return components.assign_splits(_members(spark, sf_dir), table(spark, sf_dir, "split_targets"))[1]
+
+
 def _top_ten(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topn.top_n(
         table(spark, sf_dir, "retrieval_candidates"), "question_id", "candidate_id", ("reranker_score", "score"), ("rank", "source_id"), n=10
@@ -50,9 +115,15 @@ def p6_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _top_ten(spark, sf_dir)
 
 
+QUERIES = (
+    p3_found, p3_report, p3_sample, p4_found, p4_reasons, p4_agreement, p4_reliability, p5_found, p5_assignment, p5_shares,
+    p6_found, p6_positions,
+)
+
+
 def queries() -> dict[str, Query]:
     """Every query of this subpackage by name."""
-    return {f.__name__: f for f in (p3_found, p3_report, p3_sample, p6_found, p6_positions)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
