@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrand.llm import components, consensus, oracle, sampling, topn
-from lodestrand.session import table
+from lodestrand.llm import components, consensus, mixing, oracle, sampling, tokens, topn
+from lodestrand.session import materialize, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -115,9 +115,35 @@ def p6_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _top_ten(spark, sf_dir)
 
 
+def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The token ids of each document."""
+    return tokens.encode_corpus(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def _sized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return materialize(mixing.sized(table(spark, sf_dir, "documents"), "doc_id", "source", "text"))
+
+
+def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of the mix and how often each appears."""
+    return mixing.mix(_sized(spark, sf_dir), table(spark, sf_dir, "mix_targets"))[0]
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shares that the mix reaches."""
+    return mixing.mix(_sized(spark, sf_dir), table(spark, sf_dir, "mix_targets"))[1]
+
+
+def p8_shares_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shares of a mix as large as the corpus, for which small sources are clamped at max_repeats."""
+    sizes = _sized(spark, sf_dir)
+    total = float(sizes.agg(F.sum("_n")).first()[0] or 0)
+    return mixing.mix(sizes, table(spark, sf_dir, "mix_targets"), total=total)[1]
+
+
 QUERIES = (
     p3_found, p3_report, p3_sample, p4_found, p4_reasons, p4_agreement, p4_reliability, p5_found, p5_assignment, p5_shares,
-    p6_found, p6_positions,
+    p6_found, p6_positions, p7_ids, p8_mix, p8_shares, p8_shares_full,
 )
 
 
