@@ -7,12 +7,24 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrand.llm import components, consensus, mixing, oracle, sampling, tokens, topn
+from lodestrand.llm import components, consensus, lookalikes, mixing, oracle, sampling, tokens, topn
 from lodestrand.session import materialize, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p1_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text in its plain form, with the kinds of other characters found in it."""
+    of_queries = lookalikes.normalized(table(spark, sf_dir, "queries"), "question_id", ("query_text",), "queries")
+    of_sections = lookalikes.normalized(table(spark, sf_dir, "source_sections"), "source_id", ("heading", "content"), "source_sections")
+    return of_queries.unionByName(of_sections)
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The values that hold characters other than the plain ones they look like."""
+    return p1_normalized(spark, sf_dir).where(F.size("kinds") > 0).select("table_name", "record_id", "field_name").distinct()
+
+
 def _sample(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return sampling.controlled_sample(
         table(spark, sf_dir, "queries"), table(spark, sf_dir, "sample_targets"), "question_id", "domain", "construction_category"
@@ -142,6 +154,7 @@ def p8_shares_full(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = (
+    p1_found, p1_normalized,
     p3_found, p3_report, p3_sample, p4_found, p4_reasons, p4_agreement, p4_reliability, p5_found, p5_assignment, p5_shares,
     p6_found, p6_positions, p7_ids, p8_mix, p8_shares, p8_shares_full,
 )
