@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrand.llm import components, consensus, lookalikes, mixing, oracle, sampling, tokens, topn
+from lodestrand.llm import components, consensus, lookalikes, mixing, oracle, overlap, sampling, tokens, topn
 from lodestrand.session import materialize, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,26 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p1_normalized(spark, sf_dir).where(F.size("kinds") > 0).select("table_name", "record_id", "field_name").distinct()
 
 
+def _overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlap.cross_split_overlaps(table(spark, sf_dir, "fold_partitions"), table(spark, sf_dir, "queries"))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of questions that occur, exactly or nearly so, in the test and train lists of one row."""
+    return _overlaps(spark, sf_dir).select(F.least("evaluated", "trained").alias("question_id_a"), F.greatest("evaluated", "trained").alias("question_id_b")).distinct()
+
+
+def p2_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matched pairs and matched test questions for each outer_test_fold and domain of the test question."""
+    fold = F.explode(F.filter(F.sequence(F.lit(0), F.lit(62)), lambda f: F.getbit("folds", f) == 1)).alias("outer_test_fold")
+    pairs = _overlaps(spark, sf_dir).select("batch", "evaluated", "trained", "similarity", fold)
+    domains = table(spark, sf_dir, "queries").groupBy(F.col("question_id").alias("evaluated")).agg(F.min(sampling.spelled("domain")).alias("domain"))
+    return pairs.join(domains, "evaluated", "left").groupBy("outer_test_fold", "domain").agg(
+        F.count(F.lit(1)).alias("pairs"), F.count_distinct("batch", "evaluated").alias("test_questions"),
+        F.count_if(F.col("similarity") == 1.0).alias("exact_pairs"),
+    )
+
+
 def _sample(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return sampling.controlled_sample(
         table(spark, sf_dir, "queries"), table(spark, sf_dir, "sample_targets"), "question_id", "domain", "construction_category"
@@ -154,7 +174,7 @@ def p8_shares_full(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = (
-    p1_found, p1_normalized,
+    p1_found, p1_normalized, p2_found, p2_report,
     p3_found, p3_report, p3_sample, p4_found, p4_reasons, p4_agreement, p4_reliability, p5_found, p5_assignment, p5_shares,
     p6_found, p6_positions, p7_ids, p8_mix, p8_shares, p8_shares_full,
 )
