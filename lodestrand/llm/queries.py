@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrand.llm import components, consensus, lookalikes, mixing, oracle, overlap, sampling, tokens, topn
+from lodestrand.llm import components, consensus, lookalikes, mixing, oracle, overlap, sampling, tokens, topn, truncation
 from lodestrand.session import materialize, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -173,10 +173,28 @@ def p8_shares_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(sizes, table(spark, sf_dir, "mix_targets"), total=total)[1]
 
 
+def _truncated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.truncated(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents whose text was cut."""
+    return _truncated(spark, sf_dir).where("cut").select("doc_id").distinct()
+
+
+def p9_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with a text, cut ones and the rate of cutting of each source."""
+    sources = table(spark, sf_dir, "documents").select("doc_id", sampling.spelled("source").alias("source"))
+    judged = sources.join(_truncated(spark, sf_dir), "doc_id")
+    counts = judged.groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.count_if("cut").alias("cut_documents"))
+    return counts.withColumn("cut_rate", F.col("cut_documents") / F.col("documents"))
+
+
 QUERIES = (
     p1_found, p1_normalized, p2_found, p2_report,
     p3_found, p3_report, p3_sample, p4_found, p4_reasons, p4_agreement, p4_reliability, p5_found, p5_assignment, p5_shares,
     p6_found, p6_positions, p7_ids, p8_mix, p8_shares, p8_shares_full,
+    p9_found, p9_rates,
 )
 
 
