@@ -6,14 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lodestrand.plans import retrieval
+
+MODULES = (retrieval,)
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
     """Every query of the core by name."""
-    return {}
+    return {name: query for module in MODULES for name, query in module.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL by query name."""
-    return {}
+    return {name: text for module in MODULES for name, text in module.SQL.items()}
