@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestrand.plans import retrieval
+from lodestrand.plans import evaluation, retrieval
 
-MODULES = (retrieval,)
+MODULES = (retrieval, evaluation)
 Query = Callable[[SparkSession, str], DataFrame]
 
 
