@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestrand.plans import evaluation, retrieval
+from lodestrand.plans import evaluation, quality, retrieval
 
-MODULES = (retrieval, evaluation)
+MODULES = (retrieval, evaluation, quality)
 Query = Callable[[SparkSession, str], DataFrame]
 
 
