@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestrand.functions.hashing import joined_hash
-from lodestrand.operators import folds, outcomes, retrieval, statistics, structure
+from lodestrand.operators import folds, outcomes, retrieval, routing, statistics, structure
 from lodestrand.plans import evaluation_sql as sql
 from lodestrand.session import table
 from lodestrand.sources import tables
@@ -197,12 +197,38 @@ def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folds.stratified_sample(tables.questions(spark, sf_dir), 3)
 
 
+def _oof(kind: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+    assigned = folds.assign(tables.questions(spark, sf_dir))
+    return routing.pooled_oof(route_features(spark, sf_dir), _outcomes(spark, sf_dir), folds.rotations(assigned), _costs(spark, sf_dir), kind)
+
+
+def router_oof_lr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Out-of-fold decisions of the logistic router."""
+    return _oof("logistic", spark, sf_dir)
+
+
+def router_oof_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Out-of-fold decisions of the boosted-tree router."""
+    return _oof("boosted", spark, sf_dir)
+
+
+def transfer_lr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decisions on pharmaceutical questions by a logistic router fitted on chemical ones."""
+    assigned = folds.assign(tables.questions(spark, sf_dir))
+    return routing.transfer(route_features(spark, sf_dir), _outcomes(spark, sf_dir), assigned, _costs(spark, sf_dir), "chemical", "pharmaceutical", "logistic")
+
+
+def signals_4_5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last two signals, for the logistic router."""
+    return routing.late_signals(router_oof_lr(spark, sf_dir), heuristic_policy(spark, sf_dir), _outcomes(spark, sf_dir), _costs(spark, sf_dir))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         path_outcomes, outcome_summary, stratum_summary, stage_rescues, path_costs, oracle_policy, constant_policies, heuristic_policy, route_features, threshold_table, threshold_search,
         selective_route, selective_metrics, brier_ece, kappa, confusion_matrix, specific_agreement, adjudication_queue, mcnemar_stage, bootstrap_ci, signals_1_2_3, fold_assignment, fold_rotations,
-        partition_issues, stratified_sample,
+        partition_issues, stratified_sample, router_oof_lr, router_oof_gbt, transfer_lr, signals_4_5,
     )
 }
 SQL = sql.SQL
