@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestrand.session import ship_package
+
 K1, B = 1.2, 0.75
+#: Documents of which one task holds the postings at a time.
+DOC_BLOCK = 32_768
 
 
 def postings(docs: DataFrame, scope: str, doc: str, terms: str) -> DataFrame:
@@ -42,6 +51,79 @@ def bm25_top(queries: DataFrame, docs: DataFrame, scope: str, query: str, doc: s
     return scored.withColumn("rank", rank).where(F.col("rank") <= k).select(query, doc, "rank", "score")
 
 
+def _index(docs: list[tuple[str, list[str], list[float]]]) -> tuple[list[str], dict[str, tuple[np.ndarray, np.ndarray]]]:
+    """Document ids in order, and for each term the places of its documents and their weights."""
+    docs = sorted(docs, key=lambda d: d[0])
+    sizes = [len(d[1]) for d in docs]
+    place = np.repeat(np.arange(len(docs)), sizes)
+    weight = np.concatenate([np.asarray(d[2], dtype=float) for d in docs]) if docs else np.empty(0)
+    codes, names = pd.factorize(np.array([t for d in docs for t in d[1]], dtype=object))
+    order = np.argsort(codes, kind="stable")
+    ends = np.cumsum(np.bincount(codes, minlength=len(names)))
+    return [d[0] for d in docs], {t: (place[order[a:b]], weight[order[a:b]]) for t, a, b in zip(names, np.concatenate(([0], ends[:-1])).astype(int), ends, strict=True)}
+
+
+def _scorer(k: int):
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, docs, ids, index = None, [], [], None
+        for pdf in batches:
+            out: list[tuple[str, str, float]] = []
+            for scope, block, split, tag, name, terms, weights in zip(*(pdf[c] for c in ("_scope", "_block", "_split", "_tag", "_id", "_terms", "_weights")), strict=True):
+                if (scope, block, split) != key:
+                    key, docs, index = (scope, block, split), [], None
+                if tag == 0:
+                    docs.append((name, list(terms), weights))
+                    continue
+                if index is None:
+                    ids, index = _index(docs)
+                    docs = []
+                total = np.zeros(len(ids))
+                for term, count in Counter(terms).items():
+                    if (found := index.get(term)) is not None:
+                        total[found[0]] += count * found[1]
+                total = np.round(total, 6)
+                hits = np.flatnonzero(total > 0)
+                if len(hits) > k:
+                    least = np.partition(total[hits], len(hits) - k)[len(hits) - k]
+                    hits = hits[total[hits] >= least]
+                hits = hits[np.argsort(-total[hits], kind="stable")][:k]
+                out += [(name, ids[h], float(total[h])) for h in hits]
+            yield pd.DataFrame(out, columns=["_query", "_doc", "score"])
+
+    return score
+
+
+def bm25_top_blocked(queries: DataFrame, docs: DataFrame, scope: str, query: str, doc: str, terms: str, k: int = 50, block: int = DOC_BLOCK) -> DataFrame:
+    """As bm25_top, scored by arrays: for batches of many queries.
+
+    Nearly every question shares a common word with nearly every section, so joining postings with questions makes a row of
+    nearly every pair. Here documents are put into blocks, a task keeps the postings of one block as arrays and lets
+    all queries pass, each giving its k best of the block; only these are ranked against each other. What is moved is one row a
+    document (for each split) and one a query and block, and no task holds more than a block.
+    """
+    if not 1 <= k <= 1000:
+        raise ValueError("k must be between 1 and 1000")
+    spark = docs.sparkSession
+    ship_package(spark)
+    lists = postings(docs, scope, doc, terms).groupBy(scope, doc).agg(F.collect_list("term").alias("_terms"), F.collect_list("weight").alias("_weights"))
+    sizes = docs.groupBy(scope).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_blocks"))  # one row a scope
+    blocks = sizes.agg(F.sum("_blocks")).first()[0] or 0
+    splits = max(1, -(-2 * spark.sparkContext.defaultParallelism // max(1, blocks)))
+    each = F.sequence(F.lit(0), F.lit(splits - 1))
+    left = lists.join(sizes, scope).select(
+        F.col(scope).alias("_scope"), F.pmod(F.xxhash64(doc), F.col("_blocks")).cast("int").alias("_block"), F.explode(each).alias("_split"), F.lit(0).alias("_tag"), F.col(doc).alias("_id"), "_terms", "_weights"
+    )
+    right = queries.where(F.size(terms) > 0).join(sizes, scope).select(
+        F.col(scope).alias("_scope"), F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_block"), F.pmod(F.xxhash64(query), F.lit(splits)).cast("int").alias("_split"), F.lit(1).alias("_tag"),
+        F.col(query).alias("_id"), F.col(terms).alias("_terms"), F.array().cast("array<double>").alias("_weights"),
+    )
+    keys = ["_scope", "_block", "_split"]
+    placed = left.unionByName(right).repartition(max(1, blocks) * splits, *keys).sortWithinPartitions(*keys, "_tag")
+    found = placed.mapInPandas(_scorer(k), "_query string, _doc string, score double")
+    rank = F.row_number().over(Window.partitionBy("_query").orderBy(F.desc("score"), F.asc("_doc")))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select(F.col("_query").alias(query), F.col("_doc").alias(doc), "rank", "score")
+
+
 def first_stage(candidates: DataFrame, depth: int = 50) -> DataFrame:
     """The first `depth` candidates of each question, numbered anew as bm25_rank."""
     order = Window.partitionBy("question_id").orderBy(F.asc_nulls_last("rank"), F.desc_nulls_last("score"), F.asc("source_id"))

@@ -26,20 +26,20 @@ def tokenize_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bm25_top50(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fifty best sections of each question by BM25 within its domain."""
-    return retrieval.bm25_top(_asked(spark, sf_dir), _docs(spark, sf_dir), "domain", "question_id", "source_id", "terms", 50)
+    return retrieval.bm25_top_blocked(_asked(spark, sf_dir), _docs(spark, sf_dir), "domain", "question_id", "source_id", "terms", 50)
 
 
 def bm25_manual_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Manual search: the hundred best sections for the cleaned phrase of each question, counted by question."""
     phrase = tables.questions(spark, sf_dir).where("domain is not null").select("domain", "question_id", text.search_tokens(text.search_phrase("query_text")).alias("terms"))
-    found = retrieval.bm25_top(phrase, _docs(spark, sf_dir), "domain", "question_id", "source_id", "terms", 100)
+    found = retrieval.bm25_top_blocked(phrase, _docs(spark, sf_dir), "domain", "question_id", "source_id", "terms", 100)
     return found.groupBy("question_id").agg(F.count(F.lit(1)).alias("found"), F.max("score").alias("best_score"))
 
 
 def bm25_overlap_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The BM25 fifty of each question reranked by term overlap, best ten."""
     docs, asked = _docs(spark, sf_dir), _asked(spark, sf_dir)
-    top = retrieval.bm25_top(asked, docs, "domain", "question_id", "source_id", "terms", 50)
+    top = retrieval.bm25_top_blocked(asked, docs, "domain", "question_id", "source_id", "terms", 50)
     terms = asked.select("question_id", F.col("terms").alias("q")).join(top, "question_id").join(docs.select("source_id", F.col("terms").alias("d")), "source_id")
     stage = terms.select("question_id", "source_id", F.col("rank").alias("bm25_rank"), F.round(retrieval.overlap_score("q", "d"), 9).alias("reranker_score"))
     return retrieval.rerank(stage).select("question_id", "source_id", "rank", "reranker_score")
