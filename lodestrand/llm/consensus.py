@@ -8,6 +8,7 @@ mixes up two labels, or always gives the same one, has a low plain accuracy, but
 
 from __future__ import annotations
 
+import json
 import math
 
 from pyspark.sql import Column, DataFrame
@@ -87,10 +88,12 @@ class Voting:
 
     def _weight(self, vote: Column, y: Column | int) -> Column:
         place = (vote["_j"] * self.k + vote["_x"]) * self.k + y
-        return F.lit(self.weights)[place]
+        return self._table[place]
 
     def _scores(self) -> Column:
-        """Log score of each label for the votes of an item."""
+        """Log score of each label for the votes of an item. The weights are one constant, folded once."""
+        self._table = F.from_json(F.lit(json.dumps(self.weights)), "array<double>")
+
         def total(y: int) -> Column:
             return F.aggregate("_v", F.lit(self.prior[y]), lambda s, v: s + self._weight(v, y))
         return F.array(*[total(y) for y in range(self.k)])
