@@ -82,7 +82,22 @@ SECRET = r"""(?im)^[ \t]*(?:export[ \t]+)?([A-Z0-9_]*(?:PASSWORD|API_KEY|SECRET|
 SAFE_VALUES = ("", "changeme", "change-me", "example", "none", "null", "placeholder", "redacted")
 SAFE_KEYS = ("false_token", "maximum_input_tokens", "tokenizer_revision", "true_token")
 NAMED_SECRET = r"^[A-Z][A-Z0-9_]*(?:PASSWORD|API_KEY|SECRET|TOKEN)[A-Z0-9_]*$"
-RESTRICTED_SUFFIXES = (".xlsx", ".xls", ".docx", ".pdf", ".zip", ".7z", ".pkl", ".joblib", ".safetensors", ".db", ".sqlite")
+# Names, suffixes and folders that must not be shared.
+RESTRICTED_NAMES = (".env", "local.yaml", "local.yml")
+RESTRICTED_SUFFIXES = (".7z", ".backup", ".bak", ".db", ".dump", ".faiss", ".pkl", ".sqlite", ".sqlite3", ".tar", ".zip")
+RESTRICTED_PARTS = ("corpus", "model_cache", "neo4j_docker_data", "private", "raw")
+
+
+def path_findings(df: DataFrame, path: str, size: str, max_bytes: int = 5_000_000) -> DataFrame:
+    """(path, rule) of files that are restricted by name, suffix or folder, or too large."""
+    parts = F.split(F.lower(path), "/")
+    name = F.element_at(parts, -1)
+    suffix = F.regexp_extract(name, r"^.+(\.[^.]+)$", 1)
+    found = F.array_compact(F.array(
+        F.when(name.isin(*RESTRICTED_NAMES), F.lit("restricted-name")), F.when(suffix.isin(*RESTRICTED_SUFFIXES), F.lit("restricted-suffix")),
+        F.when(F.arrays_overlap(parts, F.array(*[F.lit(p) for p in RESTRICTED_PARTS])), F.lit("restricted-directory")), F.when(F.col(size) > max_bytes, F.lit("oversize-file")),
+    ))
+    return df.select(F.col(path).alias("path"), F.explode(found).alias("rule"))
 
 
 def privacy_findings(df: DataFrame, path: str, text: str, max_bytes: int = 1 << 20) -> DataFrame:

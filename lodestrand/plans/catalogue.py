@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestrand.plans import evaluation, quality, retrieval
+from lodestrand.plans import evaluation, quality, retrieval, streams
 
-MODULES = (retrieval, evaluation, quality)
+MODULES = (retrieval, evaluation, quality, streams)
 Query = Callable[[SparkSession, str], DataFrame]
 
 
