@@ -228,4 +228,7 @@ def cross_split_overlaps(
     spread = placed.select("_b", "_q", "_t", "_test", "_train", "_own", other).select(
         "_b", "_q", "_t", "_test", "_train", "_own", F.least("_own", "_o").alias("_i"), F.greatest("_own", "_o").alias("_j")
     )
-    return spread.groupBy("_b", "_i", "_j").applyInPandas(_in_group(threshold), PAIR)
+    # Blocks take long for their size, so they are spread by number and not put together by size.
+    spark = folds.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    return spread.repartition(tasks, "_b", "_i", "_j").groupBy("_b", "_i", "_j").applyInPandas(_in_group(threshold), PAIR)
