@@ -165,7 +165,7 @@ SQL = {
       union all select distinct evidence_id, 'E_EVIDENCE_UNKNOWN' from anno where evidence_id not in (select source_id from source_sections where source_id is not null)""",
     "label_coverage": f"""with {sql.PATHS}, {OUTCOMES}, units as ({" union all ".join(f"select question_id, '{p}' as path_id, source_id as evidence_id from {sql._units(m)}" for p, m in structure.MODULES.items())}),
       l as (select question_id, path_id, evidence_id, 1 as l from labels where evidence_kind = 'ranked')
-      select path_id, count_if(u = 1 and l = 1) as labelled, count_if(l is null) as unlabelled, count_if(u is null) as unused_labels from (select *, 1 as u from units) full join l using (question_id, path_id, evidence_id) group by 1""",
+      select path_id, count(*) filter (u = 1 and l = 1) as labelled, count(*) filter (l is null) as unlabelled, count(*) filter (u is null) as unused_labels from (select *, 1 as u from units) full join l using (question_id, path_id, evidence_id) group by 1""",
     "blinded_payload": f"""with {_CODES}, {OUTCOMES.split(sql.QS + ",")[1]},
       m as (select question_id, evidence_kind, evidence_id, array_to_string(list_sort(list(distinct path_id)), '|') as occurrences, count(distinct path_id) as packages from labels group by all),
       r as (select 'EV-' || lpad(cast(row_number() over (order by sha256('20260723:' || question_code || chr(0) || evidence_kind || chr(0) || evidence_id), question_code, evidence_kind, evidence_id) as varchar), 7, '0') as row_code,
