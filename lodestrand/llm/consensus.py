@@ -14,7 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestrand.llm.sampling import spelled
+from lodestrand.functions.text import slug as spelled
 from lodestrand.session import materialize
 
 #: Weights of all annotators travel with each task: 25 numbers an annotator for five labels.

@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestrand.functions.text import slug as spelled
 from lodestrand.llm import tokens
-from lodestrand.llm.sampling import spelled
 from lodestrand.session import materialize
 
 #: Targets are worked on in the driver; they come from the table of targets, never from the records.

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestrand.functions.text import slug
 from lodestrand.llm import components, consensus, lookalikes, mixing, oracle, overlap, sampling, tokens, topn, truncation
 from lodestrand.session import materialize, table
 
@@ -38,7 +39,7 @@ def p2_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Matched pairs and matched test questions for each outer_test_fold and domain of the test question."""
     fold = F.explode(F.filter(F.sequence(F.lit(0), F.lit(62)), lambda f: F.getbit("folds", f) == 1)).alias("outer_test_fold")
     pairs = _overlaps(spark, sf_dir).select("batch", "evaluated", "trained", "similarity", fold)
-    domains = table(spark, sf_dir, "queries").groupBy(F.col("question_id").alias("evaluated")).agg(F.min(sampling.spelled("domain")).alias("domain"))
+    domains = table(spark, sf_dir, "queries").groupBy(F.col("question_id").alias("evaluated")).agg(F.min(slug("domain")).alias("domain"))
     return pairs.join(domains, "evaluated", "left").groupBy("outer_test_fold", "domain").agg(
         F.count(F.lit(1)).alias("pairs"), F.count_distinct("batch", "evaluated").alias("test_questions"),
         F.count_if(F.col("similarity") == 1.0).alias("exact_pairs"),
@@ -184,7 +185,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p9_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with a text, cut ones and the rate of cutting of each source."""
-    sources = table(spark, sf_dir, "documents").select("doc_id", sampling.spelled("source").alias("source"))
+    sources = table(spark, sf_dir, "documents").select("doc_id", slug("source").alias("source"))
     judged = sources.join(_truncated(spark, sf_dir), "doc_id")
     counts = judged.groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.count_if("cut").alias("cut_documents"))
     return counts.withColumn("cut_rate", F.col("cut_documents") / F.col("documents"))

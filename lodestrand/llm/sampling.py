@@ -9,21 +9,16 @@ from __future__ import annotations
 import math
 from collections import deque
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestrand.functions.text import slug as spelled
+
 #: The quota table is worked on in the driver; it comes from a table of targets, never from the records.
 MAX_CELLS = 10_000
 KEY_BITS = 12
 
 
-def spelled(name: str | Column) -> Column:
-    """A category as it counts: case, blanks and separators around and between its words don't matter."""
-    col = F.col(name) if isinstance(name, str) else name
-    words = F.regexp_replace(F.lower(col), r"[^\p{L}\p{N}]+", "_")
-    return F.regexp_replace(words, r"^_+|_+$", "")
-
-
 def max_flow(edges: list[tuple[object, object, int]], source: object, sink: object) -> dict[tuple[object, object], int]:
     """A maximum flow by shortest augmenting paths; capacities are integers, parallel edges add up."""
     room: dict[object, dict[object, int]] = {}
