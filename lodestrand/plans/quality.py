@@ -11,7 +11,7 @@ from lodestrand.functions.text import slug as slugged
 from lodestrand.operators import annotation, quality, structure
 from lodestrand.plans import sql
 from lodestrand.plans.evaluation_sql import ANN, OUTCOMES
-from lodestrand.plans.retrieval import path_units
+from lodestrand.plans.retrieval import Inputs, path_units
 from lodestrand.session import ship_package, table
 from lodestrand.sources import tables
 
@@ -76,7 +76,8 @@ def annotation_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def label_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each path: ranked evidence with and without a label, and labels without ranked evidence."""
-    units = reduce(DataFrame.unionByName, [path_units(p, spark, sf_dir).select("question_id", F.lit(p).alias("path_id"), F.col("source_id").alias("evidence_id"), F.lit(1).alias("u")) for p in structure.MODULES])
+    inputs = Inputs(spark, sf_dir, kept=True)
+    units = reduce(DataFrame.unionByName, [path_units(p, inputs).select("question_id", F.lit(p).alias("path_id"), F.col("source_id").alias("evidence_id"), F.lit(1).alias("u")) for p in structure.MODULES])
     labels = tables.final_labels(spark, sf_dir).where("evidence_kind = 'ranked'").select("question_id", "path_id", "evidence_id", F.lit(1).alias("l"))
     both = units.join(labels, ["question_id", "path_id", "evidence_id"], "full")
     return both.groupBy("path_id").agg(F.count_if(F.col("u").isNotNull() & F.col("l").isNotNull()).alias("labelled"), F.count_if(F.col("l").isNull()).alias("unlabelled"), F.count_if(F.col("u").isNull()).alias("unused_labels"))

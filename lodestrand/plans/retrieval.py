@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lodestrand.functions import text
 from lodestrand.operators import retrieval, structure
 from lodestrand.plans import sql
+from lodestrand.session import materialize
 from lodestrand.sources import tables
 
 
@@ -45,39 +46,47 @@ def bm25_overlap_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.rerank(stage).select("question_id", "source_id", "rank", "reranker_score")
 
 
-def _stage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.first_stage(tables.candidates(spark, sf_dir))
+class Inputs:
+    """What the paths share: the first stage, sections and edges; `kept` writes them once, for plans that use all six paths."""
 
+    def __init__(self, spark: SparkSession, sf_dir: str, kept: bool = False):
+        keep = materialize if kept else (lambda df: df)
+        self.stage = keep(retrieval.first_stage(tables.candidates(spark, sf_dir)))
+        self.sections = keep(tables.sections(spark, sf_dir))
+        self.edges = keep(structure.relation_edges(self.sections))
+        self.bases = {0: keep(retrieval.direct(self.stage)), 1: keep(retrieval.rerank(self.stage))}
+        self.items: dict[int, DataFrame] = {}
+        self.keep = keep
 
-def _base(path: str, spark: SparkSession, sf_dir: str) -> DataFrame:
-    stage = _stage(spark, sf_dir)
-    return retrieval.rerank(stage) if structure.MODULES[path][0] else retrieval.direct(stage)
+    def context(self, reranked: int) -> DataFrame:
+        """The context items of the seeds of either base."""
+        if reranked not in self.items:
+            seeds = self.bases[reranked].where(F.col("rank") <= structure.SEEDS)
+            self.items[reranked] = self.keep(structure.context_items(seeds, self.sections))
+        return self.items[reranked]
 
 
-def path_units(path: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+def path_units(path: str, inputs: Inputs) -> DataFrame:
     """The ranked units of a path for all questions."""
-    base = _base(path, spark, sf_dir)
-    if structure.MODULES[path][2]:
-        return structure.expand_one_hop(base, structure.relation_edges(tables.sections(spark, sf_dir)))
-    return structure.plain_units(base)
+    base = inputs.bases[structure.MODULES[path][0]]
+    return structure.expand_one_hop(base, inputs.edges) if structure.MODULES[path][2] else structure.plain_units(base)
 
 
-def path_sidecars(path: str, spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The sidecars of a path for all questions; none for paths without context."""
-    base, sections = _base(path, spark, sf_dir), tables.sections(spark, sf_dir)
-    seeds = base.where(F.col("rank") <= structure.SEEDS)
-    found = structure.sidecars(base, structure.context_items(seeds, sections))
-    return found if structure.MODULES[path][1] else found.where("false")
+def path_sidecars(path: str, inputs: Inputs) -> DataFrame:
+    """The sidecars of a path with context for all questions."""
+    reranked = structure.MODULES[path][0]
+    return structure.sidecars(inputs.bases[reranked], inputs.context(reranked))
 
 
 def _path(path: str):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        units = path_units(path, spark, sf_dir).select(
+        inputs = Inputs(spark, sf_dir)
+        units = path_units(path, inputs).select(
             "question_id", F.lit("unit").alias("part"), "rank", F.lit(0).alias("place"), "source_id", "origin", F.col("graph_seed_source_id").alias("seed")
         )
         if not structure.MODULES[path][1]:
             return units
-        cars = path_sidecars(path, spark, sf_dir).select(
+        cars = path_sidecars(path, inputs).select(
             "question_id", F.lit("sidecar").alias("part"), F.col("seed_rank").alias("rank"), F.col("order_within_seed").alias("place"), "source_id", F.col("context_type").alias("origin"), F.col("seed_source_id").alias("seed")
         )
         return units.unionByName(cars)
@@ -88,8 +97,9 @@ def _path(path: str):
 
 def path_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The six runs of every question."""
-    units = {p: path_units(p, spark, sf_dir) for p in structure.MODULES}
-    cars = {p: path_sidecars(p, spark, sf_dir) for p, m in structure.MODULES.items() if m[1]}
+    inputs = Inputs(spark, sf_dir, kept=True)
+    units = {p: path_units(p, inputs) for p in structure.MODULES}
+    cars = {p: path_sidecars(p, inputs) for p, m in structure.MODULES.items() if m[1]}
     runs = structure.path_runs(units, cars)
     return runs.select("run_id", "question_id", "path_id", "status", F.array_join("ranked_source_ids", "|").alias("ranked"), F.array_join("sidecar_ids", "|").alias("sidecars"),
                        "neural_model_calls", "graph_targets_inserted", "context_items_attached")
@@ -98,7 +108,7 @@ def path_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def path_run_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Broken contracts of the runs as retrieved: candidates of each question with the ranks they came with."""
     raw = tables.candidates(spark, sf_dir).where("rank between 1 and 10").select("question_id", F.lit("P0").alias("path_id"), "rank", "source_id", F.lit("direct").alias("origin"))
-    cars = path_sidecars("P2", spark, sf_dir).withColumn("path_id", F.lit("P0"))
+    cars = path_sidecars("P2", Inputs(spark, sf_dir)).withColumn("path_id", F.lit("P0"))
     return structure.run_issues(raw, cars)
 
 
