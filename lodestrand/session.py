@@ -53,13 +53,32 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """`df` written once to the shared folder and read back: lineage ends here, sizes are known to AQE."""
+    """`df` written once to the shared folder and read back: lineage ends here, sizes are known to AQE.
+
+    The files stay as long as the driver's process, as results are read from them later.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/lodestrand/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if not _WRITTEN:
+        atexit.register(_forget, spark)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_WRITTEN: list[str] = []
+
+
+def _forget(spark: SparkSession) -> None:
+    """Delete what was materialized, where the session is still there to do it."""
+    try:
+        for path in _WRITTEN:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    except Exception:  # noqa: BLE001 - the session has ended
+        pass
+
+
 _SHIPPED: set[str] = set()
 
 

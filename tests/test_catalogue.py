@@ -45,3 +45,22 @@ def test_query_equals_its_sql(spark, duck, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+JVM_ONLY = ("path_p0", "path_p1", "path_p2", "path_p3", "path_p4", "path_p5", "path_outcomes", "outcome_summary", "oracle_policy", "heuristic_policy", "threshold_table", "kappa", "fold_assignment", "contract_violations", "fingerprint", "blinded_payload")
+
+
+@pytest.mark.parametrize("name", JVM_ONLY)
+def test_plans_stay_in_the_jvm_and_multiply_nothing(spark, name):
+    plan = entry.queries()[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "Python" not in plan and "Pandas" not in plan
+
+
+def test_top_k_limits_groups_before_the_exchange(spark):
+    plan = entry.queries()["path_p0"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan
+
+
+def test_filters_and_columns_reach_the_scan(spark):
+    plan = entry.queries()["path_p0"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "IsNotNull(question_id)" in plan and "ingested_at" not in plan
