@@ -7,10 +7,12 @@ import unicodedata
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestrand.session import ship_package
+
 # The characters whose case folding differs from lower case in its Latin letters, with their folding.
 FOLDINGS = {
     "\u00df": "ss", "\u017f": "s", "\ufb00": "ff", "\ufb01": "fi", "\ufb02": "fl", "\ufb03": "ffi", "\ufb04": "ffl", "\ufb05": "st",
@@ -78,6 +80,7 @@ def normalize_text(text: str, form: str) -> str:
 
 def normalized(col: Column | str, form: str) -> Column:
     """normalize_text on a column, in Arrow batches; null stays null."""
+    ship_package(SparkSession.active())
 
     @F.pandas_udf(T.StringType())
     def of(texts: pd.Series) -> pd.Series:
@@ -93,6 +96,7 @@ def similarity(a: str, b: str) -> float:
 
 def block_similarity(left: Column | str, right: Column | str) -> Column:
     """similarity on columns; null if either is null."""
+    ship_package(SparkSession.active())
 
     @F.pandas_udf(T.DoubleType())
     def of(a: pd.Series, b: pd.Series) -> pd.Series:

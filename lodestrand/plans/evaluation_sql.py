@@ -28,7 +28,7 @@ budgets(path_id, neural_model_calls, graph_targets, context_items) as (values {_
 costs as (select b.*, m.median_runtime_ms from budgets b join (select path_id, cast(median(epoch(date_trunc('second', ingested_at)) - epoch(date_trunc('second', annotated_at))) as double) as median_runtime_ms
           from anno group by 1) m using (path_id))"""
 _ORDER = "neural_model_calls, graph_targets, context_items, median_runtime_ms, path_id"
-_RATES = """count(*) as question_path_count, count_if(evidence_complete) as evidence_complete_count, count_if(harmful_expansion) as harmful_expansion_count, count_if(combined_path_success) as combined_path_success_count,
+_RATES = """count(*) as question_path_count, count(*) filter (evidence_complete) as evidence_complete_count, count(*) filter (harmful_expansion) as harmful_expansion_count, count(*) filter (combined_path_success) as combined_path_success_count,
   round(avg(cast(evidence_complete as double)), 9) as evidence_complete_rate, round(avg(cast(harmful_expansion as double)), 9) as harmful_expansion_rate,
   round(avg(cast(combined_path_success as double)), 9) as combined_path_success_rate"""
 
@@ -46,7 +46,7 @@ folded as (select question_id, source_group_id, sha256('20260723:' || coalesce(s
 folds as (select *, cast(list_sum(list_transform(string_split(assignment_hash, ''), lambda d: strpos('123456789abcdef', d))) % 5 as int) as fold from folded)"""
 PROBS = f"""{FOLDS},
 rows_ as (select o.*, fold from outcomes o join folds using (question_id)),
-by_fold as (select domain, category, path_id, fold, count(*) as n, count_if(combined_path_success) as s from rows_ group by all),
+by_fold as (select domain, category, path_id, fold, count(*) as n, count(*) filter (combined_path_success) as s from rows_ group by all),
 total as (select domain, category, path_id, sum(n) as tn, sum(s) as ts from by_fold group by all),
 rate as (select f.domain, f.category, f.path_id, fold, round((ts - s + 1) / (tn - n + 2), 9) as p from by_fold f join total t
          on f.domain is not distinct from t.domain and f.category is not distinct from t.category and f.path_id = t.path_id),
@@ -94,7 +94,7 @@ SQL = {
     "outcome_summary": f"""with {OUTCOMES} select coalesce(case when grouping(domain) = 1 then 'all' end, domain) as domain, path_id, {_RATES}, round(avg(context_items_attached), 9) as mean_context_items_attached
       from outcomes where domain is not null group by grouping sets ((path_id), (domain, path_id))""",
     "stratum_summary": f"with {OUTCOMES} select domain, category, path_id, {_RATES} from outcomes group by all",
-    "stage_rescues": f"""with {OUTCOMES}, {STEPS} select domain, category, module, "before", "after", count(*) as questions, count_if(not x and y) as rescued, count_if(x and not y) as lost
+    "stage_rescues": f"""with {OUTCOMES}, {STEPS} select domain, category, module, "before", "after", count(*) as questions, count(*) filter (not x and y) as rescued, count(*) filter (x and not y) as lost
       from steps join (select distinct question_id, domain, category from outcomes) using (question_id) group by all""",
     "path_costs": f"with {ANN}, {COSTS} select * from costs",
     "oracle_policy": f"""with {OUTCOMES}, {COSTS}, ranked as (select path_id, row_number() over (order by {_ORDER}) as c from costs)
@@ -118,16 +118,16 @@ SQL = {
     "selective_route": f"with {OUTCOMES}, {COSTS}, {PROBS}, {ROUTES} select * from routes",
     "selective_metrics": f"""with {OUTCOMES}, {COSTS}, {PROBS}, {ROUTES},
       k as (select not abstained as kept, coalesce(combined_path_success, false) as won from routes left join outcomes on routes.question_id = outcomes.question_id and selected_path_id = path_id)
-      select count(*) as question_count, count_if(kept) as accepted_count, round(count_if(kept) / count(*), 9) as coverage, round(1 - count_if(kept) / count(*), 9) as abstention_rate,
-        round(1 - count_if(kept and won) / nullif(count_if(kept), 0), 9) as accepted_failure_rate from k""",
+      select count(*) as question_count, count(*) filter (kept) as accepted_count, round(count(*) filter (kept) / count(*), 9) as coverage, round(1 - count(*) filter (kept) / count(*), 9) as abstention_rate,
+        round(1 - count(*) filter (kept and won) / nullif(count(*) filter (kept), 0), 9) as accepted_failure_rate from k""",
     "brier_ece": f"""with {OUTCOMES}, {PROBS},
       bins as (select len(list_filter([{", ".join(f"{k}/10.0::double" for k in range(1, 10))}], lambda e: e <= p)) as b, count(*) as n, avg(p) as c, avg(cast(ok as double)) as a from probs group by 1)
       select round((select avg(power(p - cast(ok as double), 2)) from probs), 9) as brier, round(sum(n * abs(a - c)) / sum(n), 9) as ece, cast(sum(n) as bigint) as rows from bins""",
-    "kappa": f"""with {PAIRS}, m as (select count(*) as n, count_if(primary_label = duplicate_label) as same from pairs),
+    "kappa": f"""with {PAIRS}, m as (select count(*) as n, count(*) filter (primary_label = duplicate_label) as same from pairs),
       l as (select label, count(*) filter (k = 1) as a, count(*) filter (k = 2) as b from (select primary_label as label, 1 as k from pairs union all select duplicate_label, 2 from pairs) group by 1),
       e as (select sum(a * b) as chance, count(*) as used from l)
       select n as pairs, round(same / n, 9) as exact_agreement, round(case when used > 1 then (same / n - chance / (n * n)) / (1 - chance / (n * n)) end, 9) as kappa from m, e""",
-    "confusion_matrix": f"with {PAIRS} select primary_label, " + ", ".join(f"count_if(duplicate_label = '{x}') as {x}" for x in LABELS) + " from pairs group by 1",
+    "confusion_matrix": f"with {PAIRS} select primary_label, " + ", ".join(f"count(*) filter (duplicate_label = '{x}') as {x}" for x in LABELS) + " from pairs group by 1",
     "specific_agreement": f"""with {PAIRS}, names(label) as (values {", ".join(f"('{x}')" for x in LABELS)})
       select label, round(2.0::double * (select count(*) from pairs where primary_label = label and duplicate_label = label) /
         nullif((select count(*) from pairs where primary_label = label) + (select count(*) from pairs where duplicate_label = label), 0), 9) as specific_agreement from names""",
@@ -135,14 +135,14 @@ SQL = {
         case when primary_label <> duplicate_label then 'label_disagreement' else 'harmful_reason_disagreement' end as queue_reason
       from pairs where primary_label <> duplicate_label or (primary_label = 'HARMFUL' and duplicate_label = 'HARMFUL' and primary_reason is distinct from duplicate_reason)""",
     "mcnemar_stage": f"""with {OUTCOMES}, {STEPS},
-      t as (select module, "before", "after", cast(count_if(not x and y) as bigint) as rescued, cast(count_if(x and not y) as bigint) as lost from steps group by all),
+      t as (select module, "before", "after", cast(count(*) filter (not x and y) as bigint) as rescued, cast(count(*) filter (x and not y) as bigint) as lost from steps group by all),
       c as (select *, rescued + lost as n, least(rescued, lost) as k from t),
       p as (select module, "before", "after", rescued, lost, round({_MCNEMAR}, 12) as p_value from c),
       r as (select *, row_number() over (order by p_value, module, "before") as r, count(*) over () as m from p)
       select module, "before", "after", rescued, lost, p_value, round(least(1.0, max((m - r + 1) * p_value) over (order by r)), 12) as p_holm from r""",
     "signals_1_2_3": f"""with {OUTCOMES}, {COSTS}, {WIDE}, {_wide("harmful_expansion", "harm")}, {_wide("evidence_complete", "done")}, ranked as (select path_id, neural_model_calls, row_number() over (order by {_ORDER}) as c from costs),
-      s as (select count(*) as questions, count_if(not P0 and (P1 or P2 or P3 or P4 or P5)) as rescued, count_if(P0) as p0, count_if(not P0 and P1) as a, count_if((not P0 and P2) or (not P1 and P4)) as b,
-            count_if((not P0 and P3) or (not P4 and P5)) as g from wide),
+      s as (select count(*) as questions, count(*) filter (not P0 and (P1 or P2 or P3 or P4 or P5)) as rescued, count(*) filter (P0) as p0, count(*) filter (not P0 and P1) as a, count(*) filter ((not P0 and P2) or (not P1 and P4)) as b,
+            count(*) filter ((not P0 and P3) or (not P4 and P5)) as g from wide),
       pick as (select question_id, arg_min(path_id, c) as path_id from outcomes join ranked using (path_id) where combined_path_success group by 1),
       o as (select count(*) as routable, avg(neural_model_calls) as calls, avg(cast(wide.P5 as int)) as s5, avg(cast(x.harmful_expansion as int)) as oh, avg(cast(harm.P5 as int)) as h5, avg(cast(x.evidence_complete as int)) as oc,
             avg(cast(done.P5 as int)) as c5 from pick join outcomes x using (question_id, path_id) join ranked using (path_id) join wide using (question_id) join harm using (question_id) join done using (question_id))
