@@ -47,6 +47,27 @@ def one_sided(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return only(a, b, "left").unionByName(only(b, a, "right"))
 
 
+def import_issues(baseline: DataFrame, reviewed: DataFrame, key: str, immutable: tuple[str, ...], label: str, labels: tuple[str, ...], reason: str, needs_reason: str, identity: str) -> DataFrame:
+    """(key, code) of reviewed rows against the exported ones: missing, unknown or repeated rows, changed fields, a wrong identity
+    hash, a label that isn't one, and a reason that is missing or out of place. Both sides have the immutable fields and the hash.
+    """
+    own = baseline.select(F.col(key), *[F.col(c).alias(f"b_{c}") for c in immutable], F.col(identity).alias("b_hash"), F.lit(True).alias("_b"))
+    seen = reviewed.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), *[F.min(c).alias(c) for c in dict.fromkeys((*immutable, identity, label, reason))])
+    both = own.join(seen, key, "full")
+    here = F.col("_b") & F.col("_n").isNotNull()
+    given = F.upper(F.trim(label))
+    same = F.lit(True)
+    for c in immutable:
+        same = same & F.col(c).eqNullSafe(F.col(f"b_{c}"))
+    has_reason = F.coalesce(F.trim(reason), F.lit("")) != ""
+    codes = F.array_compact(F.array(
+        F.when(F.col("_n").isNull(), F.lit("E_ROW_MISSING")), F.when(F.col("_b").isNull(), F.lit("E_ROW_UNKNOWN")), F.when(F.col("_n") > 1, F.lit("E_ROW_REPEATED")),
+        F.when(here & ~same, F.lit("E_FIELD_CHANGED")), F.when(here & ~F.col(identity).eqNullSafe(F.col("b_hash")), F.lit("E_IDENTITY_HASH")),
+        F.when(here & ~F.coalesce(given.isin(*labels), F.lit(False)), F.lit("E_LABEL")), F.when(here & (F.coalesce(given == needs_reason, F.lit(False)) != has_reason), F.lit("E_REASON")),
+    ))
+    return both.select(key, F.explode(codes).alias("code"))
+
+
 def quota_counts(records: DataFrame, quotas: DataFrame, keys: list[str]) -> DataFrame:
     """keys, expected, actual: cells of the quotas with their counts, empty ones included, and cells that no quota names."""
     counts = records.groupBy(*keys).agg(F.count(F.lit(1)).alias("actual"))

@@ -146,6 +146,15 @@ def path_runs(units: dict[str, DataFrame], attached: dict[str, DataFrame]) -> Da
     )
 
 
+def complete_runs(questions: DataFrame, runs: DataFrame) -> DataFrame:
+    """question_id, path_id, status, error_code for all six paths of every question; one without a run failed in the first stage."""
+    paths = F.explode(F.array(*[F.lit(p) for p in MODULES])).alias("path_id")
+    each = questions.select("question_id").distinct().select("question_id", paths)
+    joined = each.join(runs.select("question_id", "path_id", "status"), ["question_id", "path_id"], "left")
+    missing = F.col("status").isNull()
+    return joined.select("question_id", "path_id", F.coalesce("status", F.lit("execution_error")).alias("status"), F.when(missing, F.lit("E_FIRST_STAGE")).alias("error_code"))
+
+
 def run_issues(units: DataFrame, attached: DataFrame) -> DataFrame:
     """(question_id, path_id, code): broken rank sequences, repeated evidence or sidecars, modules that a path must not use.
 

@@ -105,6 +105,13 @@ def path_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
                        "neural_model_calls", "graph_targets_inserted", "context_items_attached")
 
 
+def path_run_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The status of the six paths of every question."""
+    inputs = Inputs(spark, sf_dir)
+    runs = path_units("P0", inputs).select("question_id", F.explode(F.array(*[F.lit(p) for p in structure.MODULES])).alias("path_id"), F.lit("complete").alias("status")).distinct()
+    return structure.complete_runs(tables.questions(spark, sf_dir), runs)
+
+
 def path_run_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Broken contracts of the runs as retrieved: candidates of each question with the ranks they came with."""
     raw = tables.candidates(spark, sf_dir).where("rank between 1 and 10").select("question_id", F.lit("P0").alias("path_id"), "rank", "source_id", F.lit("direct").alias("origin"))
@@ -138,7 +145,7 @@ def context_sidecars(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (tokenize_sections, bm25_top50, bm25_manual_search, bm25_overlap_rerank, path_runs, path_run_issues, first_stage_issues, edge_normalize, graph_metadata, context_sidecars)
+    for f in (tokenize_sections, bm25_top50, bm25_manual_search, bm25_overlap_rerank, path_runs, path_run_status, path_run_issues, first_stage_issues, edge_normalize, graph_metadata, context_sidecars)
 } | {f"path_{p.lower()}": _path(p) for p in structure.MODULES}
 
 SQL = {
@@ -150,6 +157,9 @@ SQL = {
                  from top50 t join asked a using (question_id) join docs d using (source_id))
       select question_id, source_id, cast(row_number() over (partition by question_id order by reranker_score desc, bm25_rank, source_id) as int) as rank, reranker_score
       from scored qualify rank <= 10""",
+    "path_run_status": f"""with {sql.QS}, {sql.CANDS}, s as (select distinct question_id, 1 as s from cands)
+      select question_id, unnest(['P0', 'P1', 'P2', 'P3', 'P4', 'P5']) as path_id, case when s = 1 then 'complete' else 'execution_error' end as status, case when s is null then 'E_FIRST_STAGE' end as error_code
+      from qs left join s using (question_id)""",
     "path_run_issues": f"""with {sql.PATHS},
       sums as (select question_id, count(*) n, max(rank) top, count(distinct rank) ranks, count(distinct source_id) ids from cands where rank between 1 and 10 group by 1),
       side as (select question_id, count(*) m from cars_p0 group by 1)

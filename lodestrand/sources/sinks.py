@@ -42,6 +42,11 @@ def write_atomic(path: str | Path, value: Any, overwrite: bool = True) -> Path:
     return path
 
 
+def export_schemas(folder: str | Path, schemas: Mapping[str, Any]) -> list[Path]:
+    """Write each Spark schema as JSON, one file a name; the same schemas give the same bytes."""
+    return [write_atomic(Path(folder) / f"{name}.schema.json", json.loads(schema.json())) for name, schema in sorted(schemas.items())]
+
+
 class TableCache:
     """Tables kept under the hash of what they were made from; one that is there is never replaced."""
 

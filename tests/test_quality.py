@@ -15,6 +15,14 @@ def test_violations_and_redelivery(spark):
     assert [tuple(r) for r in quality.changed_on_redelivery(df, "k", ("n", "t")).collect()] == [("a", "t")]
 
 
+def test_import_issues(spark):
+    schema = "row string, text string, label string, reason string, hash string"
+    base = spark.createDataFrame([(r, "t", None, None, f"h{r}") for r in "abcdefg"], schema)
+    rows = [("a", "t", " harmful ", "why", "ha"), ("b", "changed", "CONTEXT", None, "hb"), ("c", "t", "HARMFUL", " ", "hc"), ("d", "t", "nonsense", None, "x"), ("e", "t", "CONTEXT", "why", "he"), ("e", "t", "CONTEXT", "why", "he"), ("z", "t", "CONTEXT", None, "hz"), ("g", "t", "Context", "", "hg")]
+    got = quality.import_issues(base, spark.createDataFrame(rows, schema), "row", ("text",), "label", ("CONTEXT", "HARMFUL"), "reason", "HARMFUL", "hash")
+    assert sorted(map(tuple, got.collect())) == [("b", "E_FIELD_CHANGED"), ("c", "E_REASON"), ("d", "E_IDENTITY_HASH"), ("d", "E_LABEL"), ("e", "E_REASON"), ("e", "E_ROW_REPEATED"), ("f", "E_ROW_MISSING"), ("z", "E_ROW_UNKNOWN")]
+
+
 def test_fingerprint_ignores_order(spark):
     df = spark.range(300).select(F.col("id").cast("string").alias("a"), F.when(F.col("id") % 7 > 0, "x").alias("b"))
     one = quality.fingerprint(df, ["a", "b"], "t").first()
@@ -86,6 +94,11 @@ def test_sinks(tmp_path, spark):
     assert cache.get({"a": "1"}) is None and cache.put({"a": "1"}, spark.range(3)).count() == 3 and cache.put({"a": "1"}, spark.range(9)).count() == 3
 
 
+def test_schema_export(tmp_path):
+    first = [p.read_text() for p in sinks.export_schemas(tmp_path, {"nodes": files.NODES, "chunks": files.CHUNKS})]
+    assert first == [p.read_text() for p in sinks.export_schemas(tmp_path, {"chunks": files.CHUNKS, "nodes": files.NODES})] and "chunk_id" in first[0]
+
+
 def test_file_sources(tmp_path, spark):
     (tmp_path / "a_enriched.json").write_text('[{"chunk_id": "c1", "doc_id": "A", "heading": "h", "parents_context": "p", "content": "x"}, {"chunk_id": "c2", "doc_id": "A", "content": "y"}, {"chunk_id": "c3", "doc_id": "B", "content": null}]')
     (tmp_path / "a_tables.json").write_text('[{"chunk_id": "c1", "table": " ", "table_summary": ""}, {"chunk_id": "c1", "table": "t", "table_summary": "sum"}, {"chunk_id": "zz", "table": "t"}]')
