@@ -8,8 +8,6 @@ a band of k+1 diagonals, and the few that pass get their exact similarity.
 
 from __future__ import annotations
 
-import re
-import unicodedata
 from difflib import SequenceMatcher
 
 import numpy as np
@@ -18,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestrand.functions.text import normalize_text
 from lodestrand.session import ship_package
 
 #: Questions of one batch that one task holds on either side at most; larger batches are worked on in blocks of this size.
@@ -33,7 +32,7 @@ PAIR = T.StructType(
 
 def comparable(text: str) -> str:
     """A text as it is compared: compatibility forms and case folded, only letters, digits and underscores kept."""
-    return "".join(re.findall(r"\w+", unicodedata.normalize("NFKC", text).casefold()))
+    return normalize_text(text, "question")
 
 
 def edits(a: np.ndarray | int, b: np.ndarray | int, threshold: float):
