@@ -151,13 +151,25 @@ def overlap_score(query_terms: str, doc_terms: str) -> Column:
 def first_stage_issues(stage: DataFrame, depth: int = 50) -> DataFrame:
     """(question_id, code): questions whose first stage has too many rows, gaps in its ranks or repeated sources."""
     sums = stage.groupBy("question_id").agg(
-        F.count(F.lit(1)).alias("n"), F.max("bm25_rank").alias("top"), F.min("bm25_rank").alias("low"), F.count_distinct("bm25_rank").alias("ranks"), F.count_distinct("source_id").alias("sources")
+        F.count(F.lit(1)).alias("n"), F.count("source_id").alias("named"), F.max("bm25_rank").alias("top"), F.min("bm25_rank").alias("low"), F.count_distinct("bm25_rank").alias("ranks"), F.count_distinct("source_id").alias("sources")
     )
     codes = F.array_compact(
         F.array(
             F.when(F.col("n") > depth, F.lit("E_DEPTH")),
             F.when((F.col("low") != 1) | (F.col("top") != F.col("n")) | (F.col("ranks") != F.col("n")), F.lit("E_RANK_SEQUENCE")),
-            F.when(F.col("sources") != F.col("n"), F.lit("E_EVIDENCE_ID_DUPLICATE")),
+            F.when(F.col("sources") != F.col("named"), F.lit("E_EVIDENCE_ID_DUPLICATE")),
         )
     )
     return sums.select("question_id", F.explode(codes).alias("code"))
+
+
+def domain_issues(stage: DataFrame, sections: DataFrame, questions: DataFrame) -> DataFrame:
+    """(question_id, code): questions with a candidate that states another domain than theirs, or whose section is of another.
+
+    `stage` carries question_id, source_id and domain, the others one row an id with its domain. Unknown domains match any. Domains are
+    gathered by question before questions are joined, so a hot question is one row there.
+    """
+    known = sections.select("source_id", F.col("domain").alias("_s"))
+    own = stage.join(known, "source_id", "left").groupBy("question_id").agg(F.array_union(F.collect_set("domain"), F.collect_set("_s")).alias("_found"))
+    crossed = own.join(questions.select("question_id", "domain"), "question_id").where(F.exists("_found", lambda d: d != F.col("domain")))
+    return crossed.select("question_id", F.lit("E_DOMAIN").alias("code"))

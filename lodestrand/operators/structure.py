@@ -161,7 +161,7 @@ def run_issues(units: DataFrame, attached: DataFrame) -> DataFrame:
     Both inputs carry path_id.
     """
     key = ["question_id", "path_id"]
-    sums = units.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.max("rank").alias("top"), F.count_distinct("rank").alias("ranks"), F.count_distinct("source_id").alias("ids"), F.count_if(F.col("origin") == "graph").alias("graph"))
+    sums = units.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.count("source_id").alias("named"), F.max("rank").alias("top"), F.count_distinct("rank").alias("ranks"), F.count_distinct("source_id").alias("ids"), F.count_if(F.col("origin") == "graph").alias("graph"))
     side = attached.groupBy(*key).agg(F.count(F.lit(1)).alias("m"), F.count_distinct("sidecar_id").alias("sids"))
     both = sums.join(side, key, "left").fillna(0, ["m", "sids"])
     no_context = [p for p, m in MODULES.items() if not m[1]]
@@ -169,7 +169,7 @@ def run_issues(units: DataFrame, attached: DataFrame) -> DataFrame:
     codes = F.array_compact(
         F.array(
             F.when((F.col("top") != F.col("n")) | (F.col("ranks") != F.col("n")), F.lit("E_RANK_SEQUENCE")),
-            F.when(F.col("ids") != F.col("n"), F.lit("E_EVIDENCE_ID_DUPLICATE")),
+            F.when(F.col("ids") != F.col("named"), F.lit("E_EVIDENCE_ID_DUPLICATE")),
             F.when(F.col("sids") != F.col("m"), F.lit("E_SIDECAR_ID_DUPLICATE")),
             F.when((F.col("m") > 0) & F.col("path_id").isin(*no_context), F.lit("E_PATH_CONTEXT_FORBIDDEN")),
             F.when((F.col("graph") > 0) & F.col("path_id").isin(*no_graph), F.lit("E_PATH_GRAPH_FORBIDDEN")),

@@ -113,18 +113,32 @@ def path_run_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def path_run_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Broken contracts of the runs as retrieved: candidates of each question with the ranks they came with."""
+    """Broken contracts of the runs over the best occurrence of each source, with the ranks they came with, as its SQL has it."""
     raw = tables.candidates(spark, sf_dir).where("rank between 1 and 10").select("question_id", F.lit("P0").alias("path_id"), "rank", "source_id", F.lit("direct").alias("origin"))
     cars = path_sidecars("P2", Inputs(spark, sf_dir)).withColumn("path_id", F.lit("P0"))
     return structure.run_issues(raw, cars)
 
 
 def first_stage_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Questions whose candidates as delivered break the first stage's contract."""
+    """Questions whose candidates, the best occurrence of each source, break the first stage's contract, as its SQL has it."""
     raw = tables.candidates(spark, sf_dir).where("rank is not null").select("question_id", "source_id", F.col("rank").alias("bm25_rank"))
     return retrieval.first_stage_issues(raw)
 
 
+def path_run_delivered_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Broken contracts of the runs as delivered: every candidate_id once, sources that a question names twice included."""
+    raw = tables.delivered_candidates(spark, sf_dir).where("rank between 1 and 10").select("question_id", F.lit("P0").alias("path_id"), "rank", "source_id", F.lit("direct").alias("origin"))
+    cars = path_sidecars("P2", Inputs(spark, sf_dir)).withColumn("path_id", F.lit("P0"))
+    return structure.run_issues(raw, cars)
+
+
+def first_stage_delivered_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions whose candidates as delivered break the first stage's contract: depth, ranks, sources named twice, other domains."""
+    raw = tables.delivered_candidates(spark, sf_dir).where("rank is not null").select("question_id", "source_id", "domain", F.col("rank").alias("bm25_rank"))
+    crossed = retrieval.domain_issues(raw, tables.sections(spark, sf_dir), tables.questions(spark, sf_dir))
+    return retrieval.first_stage_issues(raw).unionByName(crossed)
+
+
 def edge_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The relation edges that sections state."""
     return structure.relation_edges(tables.sections(spark, sf_dir))
@@ -145,7 +159,7 @@ def context_sidecars(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (tokenize_sections, bm25_top50, bm25_manual_search, bm25_overlap_rerank, path_runs, path_run_status, path_run_issues, first_stage_issues, edge_normalize, graph_metadata, context_sidecars)
+    for f in (tokenize_sections, bm25_top50, bm25_manual_search, bm25_overlap_rerank, path_runs, path_run_status, path_run_issues, first_stage_issues, path_run_delivered_issues, first_stage_delivered_issues, edge_normalize, graph_metadata, context_sidecars)
 } | {f"path_{p.lower()}": _path(p) for p in structure.MODULES}
 
 SQL = {

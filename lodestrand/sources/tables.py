@@ -52,6 +52,14 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select("question_id", "source_id", "_r.*")
 
 
+def delivered_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """candidate_id, question_id, source_id, rank, domain: every candidate as delivered, only redeliveries of a candidate_id removed."""
+    raw = table(spark, sf_dir, "retrieval_candidates").where("question_id is not null")
+    unnamed = raw.where("candidate_id is null").select(*raw.columns)
+    once = first_delivery(raw, "candidate_id").unionByName(unnamed)
+    return once.select("candidate_id", "question_id", "source_id", "rank", slug("domain").alias("domain"))
+
+
 def annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Valid labels, one row a delivery: question_id, path_id, evidence_id, evidence_kind, label, role, annotator, reason, annotated_at."""
     once = first_delivery(table(spark, sf_dir, "evidence_annotations"), "annotation_id")

@@ -5,6 +5,7 @@ from collections import Counter
 import pytest
 
 from lodestrand.operators import retrieval, structure
+from lodestrand.plans import retrieval as plans
 
 UNITS = "question_id string, source_id string, bm25_rank int, bm25_score double, reranker_score double, rank int"
 
@@ -77,3 +78,18 @@ def test_run_issues(spark):
     cars = spark.createDataFrame([("q", "P0", "x"), ("q", "P0", "x")], "question_id string, path_id string, sidecar_id string")
     got = sorted((r["path_id"], r["code"]) for r in structure.run_issues(units, cars).collect())
     assert got == [("P0", "E_PATH_CONTEXT_FORBIDDEN"), ("P0", "E_PATH_GRAPH_FORBIDDEN"), ("P0", "E_SIDECAR_ID_DUPLICATE"), ("P3", "E_RANK_SEQUENCE")]
+
+
+def test_contracts_see_candidates_as_delivered(spark, tmp_path):
+    at = "timestamp'2025-01-01'"
+    rows = [(1, "q", "chemical", "a", 1), (2, "q", "chemical", "a", 2), (3, "q", "chemical", "b", 3), (3, "q", "chemical", "b", 3), (4, "r", "Chemical", "a", 1), (5, "r", "chemical", "p", 2), (6, "s", "chemical", "a", 1), (7, "s", "chemical", "b", 2), (8, "t", "chemical", "a", 1), (9, "t", "chemical", "b", 3), (10, None, "chemical", "b", 3)]
+    c = spark.createDataFrame(rows, "candidate_id bigint, question_id string, domain string, source_id string, rank int")
+    c.selectExpr("*", "1d as score", "1d as reranker_score", f"{at} as ingested_at").write.parquet(f"{tmp_path}/retrieval_candidates.parquet")
+    s = spark.createDataFrame([("a", "chemical"), ("b", "chemical"), ("p", "pharmaceutical")], "source_id string, domain string")
+    s.selectExpr("*", "'' as document_id", "'' as heading", "'' as content", "'' as source_type", "'' as runtime_locator", f"{at} as ingested_at").write.parquet(f"{tmp_path}/source_sections.parquet")
+    q = spark.createDataFrame([(x, "chemical") for x in "qrst"], "question_id string, domain string")
+    q.selectExpr("*", "'' as construction_category", "'zh' as language", "'' as query_text", "'' as source_group_id", "array('a') as authoring_source_ids", f"{at} as ingested_at").write.parquet(f"{tmp_path}/queries.parquet")
+    got = sorted((r["question_id"], r["code"]) for r in plans.first_stage_delivered_issues(spark, str(tmp_path)).collect())
+    assert got == [("q", "E_EVIDENCE_ID_DUPLICATE"), ("r", "E_DOMAIN"), ("t", "E_RANK_SEQUENCE")]
+    got = sorted((r["question_id"], r["code"]) for r in plans.path_run_delivered_issues(spark, str(tmp_path)).collect())
+    assert got == [("q", "E_EVIDENCE_ID_DUPLICATE"), ("t", "E_RANK_SEQUENCE")]
