@@ -286,6 +286,8 @@ SIGNED = T.StructType(
 AGREEING = 67
 
 
+#: Texts of one bucket that are held against each other in one place.
+BLOCK = 1_000
 #: similar: the Jaccard similarity of the word shingles; early: whether the first text ends within a sentence of the second.
 ALIGNED = T.StructType([T.StructField("similar", T.DoubleType()), T.StructField("early", T.BooleanType())])
 
@@ -319,18 +321,18 @@ def _align(short: pd.Series, long: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"similar": similar, "early": early})
 
 
-def near_copies(texts: DataFrame) -> DataFrame:
+def near_copies(texts: DataFrame, block: int = BLOCK) -> DataFrame:
     """(_h, _of, similar, early) of distinct texts (_h, _t): texts and a longer near-copy of theirs.
 
-    In each bucket of a band a text is held against the longest and the next longer one; those that match neither are
-    then held against every longer one of the bucket. So each text with a longer copy in a bucket gets one, and
-    a bucket full of copies costs two comparisons a text.
+    In each bucket of a band a text is held against the longest and the next longer one; those that end early in neither
+    are then held against every other longer one of their buckets, as a similar text with another ending tells nothing. So an early end in
+    any longer text of a bucket is found. Buckets of more than `block` texts are worked on in pairs of blocks.
     """
     signed = materialize(texts.mapInPandas(_signatures, SIGNED))
     bands = signed.select("_h", "_n", F.posexplode("_keys").alias("_band", "_key"))
     many = bands.groupBy("_band", "_key").agg(F.count(F.lit(1)).alias("_c"), F.max(F.struct("_n", "_h")).alias("_top")).where("_c > 1")
     sketches = signed.select("_h", *[f"_s{k}" for k in range(4)])
-    shared = materialize(bands.join(many, ["_band", "_key"]).select("_h", "_n", "_band", "_key", F.col("_top._h").alias("_longest")).join(sketches, "_h"))
+    shared = materialize(bands.join(many, ["_band", "_key"]).select("_h", "_n", "_band", "_key", F.ceil(F.col("_c") / block).cast("int").alias("_blocks"), F.col("_top._h").alias("_longest")).join(sketches, "_h"))
     longer = F.lead("_h").over(Window.partitionBy("_band", "_key").orderBy("_n", "_h"))
 
     def differing(k: int) -> Column:
@@ -346,14 +348,16 @@ def near_copies(texts: DataFrame) -> DataFrame:
         return materialize(both.select("_h", "_of", _align("_t", "_o").alias("_x")).select("_h", "_of", "_x.*")).where(F.col("similar") >= SIMILARITY)
 
     others = sketches.toDF("_of", *[f"_o{k}" for k in range(4)])
-    near = shared.drop("_band", "_key", "_n", "_longest")
+    near = shared.drop("_band", "_key", "_n", "_blocks", "_longest")
     two = shared.select("_h", F.col("_longest").alias("_of")).unionByName(shared.select("_h", longer.alias("_of"))).where("_of is not null and _h <> _of").distinct()
     first = judged(two.join(near.dropDuplicates(["_h"]), "_h").join(others, "_of").where(alike).select("_h", "_of"))
-    rest = shared.join(first.select("_h").distinct(), "_h", "left_anti")
-    held = shared.select(F.col("_h").alias("_of"), F.col("_n").alias("_m"), "_band", "_key", *[F.col(f"_s{k}").alias(f"_o{k}") for k in range(4)])
+    own, every = F.pmod(F.xxhash64("_h"), F.col("_blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
+    rest = shared.join(first.where("early").select("_h").distinct(), "_h", "left_anti").withColumn("_i", own).withColumn("_j", every)
+    held = shared.withColumn("_j", own).withColumn("_i", every)
+    held = held.select(F.col("_h").alias("_of"), F.col("_n").alias("_m"), "_band", "_key", "_i", "_j", *[F.col(f"_s{k}").alias(f"_o{k}") for k in range(4)])
     fits = (F.col("_m") > F.col("_n")) | ((F.col("_m") == F.col("_n")) & (F.col("_of") > F.col("_h")))
-    second = rest.join(held, ["_band", "_key"]).where(fits & (F.col("_n") >= SIMILARITY * F.col("_m")) & alike).select("_h", "_of").distinct()
-    return first.unionByName(judged(second))
+    second = rest.join(held, ["_band", "_key", "_i", "_j"]).where(fits & (F.col("_n") >= SIMILARITY * F.col("_m")) & alike).select("_h", "_of").distinct()
+    return first.unionByName(judged(second.join(two, ["_h", "_of"], "left_anti")))
 
 
 def truncated(df: DataFrame, doc: str, text: str) -> DataFrame:

@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from lodestrand.llm.truncation import closing, ends_early, truncated
+from lodestrand.llm.truncation import closing, ends_early, near_copies, truncated
 
 
 @pytest.mark.parametrize(("text", "verdict"), [
@@ -53,5 +53,18 @@ def test_near_copy_tells(spark):
     assert rows[2]["cut"] and rows[2]["by_copy"] and not rows[1]["cut"]
 
 
+@pytest.mark.parametrize("block", [1000, 2])
+def test_longer_variants_hide_no_original(spark, block):
+    random.seed(3)
+    texts = []
+    for k in range(6):
+        words = [f"w{random.randrange(900)}" for _ in range(600)]
+        same = " ".join(words[:589])
+        texts += [(f"cut {k}", f"{same} {words[589]}"), (f"original {k}", " ".join(words) + ".")]
+        texts += [(f"next {k} {v}", f"{same} a{v} b{v}.") for v in range(4)] + [(f"longest {k} {v}", same + "".join(f" {v}c{i}" for i in range(20)) + ".") for v in range(4)]
+    got = {(r["_h"], r["_of"]) for r in near_copies(spark.createDataFrame(texts, "_h string, _t string"), block).where("early").collect()}
+    assert got == {(f"cut {k}", f"original {k}") for k in range(6)}
+
+
 def test_empty(spark):
     assert truncated(spark.createDataFrame([], "doc bigint, text string"), "doc", "text").count() == 0
