@@ -125,7 +125,7 @@ def verify(left: np.ndarray, left_n: np.ndarray, right: np.ndarray, right_n: np.
     start = max(0, -low) + low
     goal = -((-(left_n + right_n - k)) // 2)
     need, a, b, an, bn, ids = goal[alive], left[alive], pad[alive], left_n[alive], right_n[alive], alive
-    best = np.zeros((len(alive), width + 1), dtype=np.int16)
+    best = np.zeros((len(alive), width + 1), dtype=np.int16 if rows <= np.iinfo(np.int16).max else np.int32)
     diagonals = np.arange(low, high + 1)
     for i in range(rows):
         over = i >= an
@@ -147,7 +147,7 @@ def verify(left: np.ndarray, left_n: np.ndarray, right: np.ndarray, right_n: np.
 
 
 def similar_pairs(left: list[str], right: list[str], threshold: float) -> list[tuple[int, int, float]]:
-    """(left, right, similarity) of all pairs of non-empty texts that reach the threshold; a copy is compared once."""
+    """(left, right, similarity) of all pairs of non-empty texts that reach the threshold; a copy is compared once, equal texts never."""
     lefts, rights = sorted({t for t in left if t}), sorted({t for t in right if t})
     if not lefts or not rights:
         return []
@@ -158,8 +158,11 @@ def similar_pairs(left: list[str], right: list[str], threshold: float) -> list[t
     where_l, where_r = {}, {}
     for where, texts in ((where_l, left), (where_r, right)):
         for i, t in enumerate(texts):
-            where.setdefault(t, []).append(i)
-    out = []
+            if t:
+                where.setdefault(t, []).append(i)
+    out = [(u, v, 1.0) for t in where_l if t in where_r for u in where_l[t] for v in where_r[t]]
+    differ = np.array([lefts[i] != rights[j] for i, j in zip(a, b, strict=True)], dtype=bool)
+    a, b = a[differ], b[differ]
     for begin in range(0, len(a), CHUNK):
         i, j = a[begin : begin + CHUNK], b[begin : begin + CHUNK]
         for p in np.flatnonzero(verify(x[i, : xn[i].max()], xn[i], y[j, : yn[j].max()], yn[j], threshold)):

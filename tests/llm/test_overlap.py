@@ -27,6 +27,14 @@ def test_all_similar_pairs_are_found(threshold):
     assert got == want
 
 
+def test_long_texts():
+    random.seed(4)
+    text = "".join(chr(0x4E00 + random.randrange(6000)) for _ in range(40_000))
+    near = text[:39_000] + "x" + text[39_001:]
+    got = {(i, j): r for i, j, r in similar_pairs([text], [text, near, text[::-1]], 0.85)}
+    assert got == {(0, 0): 1.0, (0, 1): pytest.approx(1 - 1 / 40_000)}
+
+
 def test_comparable():
     assert comparable("Ｈello, Wor_ld! ß 表1。") == "hellowor_ldss表1"
 
