@@ -48,9 +48,10 @@ def search_tokens(col: Column | str) -> Column:
     return F.concat(latin_tokens(text), han_bigrams(text))
 
 
-def index_text(*parts: str, limit: int = 2000) -> Column:
-    """Trimmed non-blank parts joined by line breaks, the whole cut to `limit` characters."""
-    return F.substring(F.concat_ws("\n", *[F.nullif(F.trim(F.col(p)), F.lit("")) for p in parts]), 1, limit)
+def index_text(*parts: str, limit: int | None = None) -> Column:
+    """Trimmed non-blank parts joined by line breaks, whole; `limit` cuts to so many characters (the pharmaceutical reference: 2,000)."""
+    whole = F.concat_ws("\n", *[F.nullif(F.trim(F.col(p)), F.lit("")) for p in parts])
+    return whole if limit is None else F.substring(whole, 1, limit)
 
 
 def slug(col: Column | str) -> Column:

@@ -52,3 +52,9 @@ def test_numbering_is_the_sorted_order(spark):
 def test_question_form_is_stable(value):
     once = text.normalize_text(value, "question")
     assert re.sub(r"\w", "", once) == ""
+
+
+def test_index_text_is_whole(spark):
+    df = spark.createDataFrame([(" Head ", "a " * 3000 + "last")], "heading string, content string")
+    row = df.select(text.index_text("heading", "content").alias("whole"), text.index_text("heading", "content", limit=2000).alias("cut")).first()
+    assert row["whole"] == "Head\n" + "a " * 3000 + "last" and row["cut"] == row["whole"][:2000]
