@@ -77,28 +77,72 @@ def controlled_rounding(table: dict[tuple[str, str], float]) -> dict[tuple[str,
     return {(i, j): low[("r", i), ("c", j)] + flow.get((("r", i), ("c", j)), 0) for i, j in table}
 
 
+def reachable(wanted: dict[tuple[str, str], int], available: dict[tuple[str, str], int]) -> dict[tuple[str, str], int]:
+    """How much of what each cell wants the records can give, as a maximum flow through rows, cells and columns."""
+    rows: dict[str, int] = {}
+    cols: dict[str, int] = {}
+    for (i, j), n in wanted.items():
+        rows[i] = rows.get(i, 0) + n
+        cols[j] = cols.get(j, 0) + n
+    edges = [("s", ("r", i), n) for i, n in rows.items()] + [(("c", j), "t", n) for j, n in cols.items()]
+    edges += [(("r", i), ("c", j), min(n, available.get((i, j), 0))) for (i, j), n in wanted.items()]
+    flow = max_flow(edges, "s", "t")
+    return {(i, j): flow.get((("r", i), ("c", j)), 0) for i, j in wanted}
+
+
+def _factor(weights: list[float], low: list[float], high: list[float], total: float) -> float:
+    """The factor by which the weights, each then kept between its bounds, add up to `total` (or come as close as the bounds let)."""
+    least, most = 0.0, max((h / w for w, h in zip(weights, high, strict=True) if w > 0), default=0.0)
+    for _ in range(100):
+        middle = (least + most) / 2
+        if sum(_bounded(w * middle, x, h) for w, x, h in zip(weights, low, high, strict=True)) < total:
+            least = middle
+        else:
+            most = middle
+    return most
+
+
+def _bounded(x: float, low: float, high: float) -> float:
+    return min(max(x, low), high)
+
+
+#: Rounds in which the table is fitted to its margins, alternately by rows and columns.
+FITTING_ROUNDS = 500
+
+
 def quotas(
     shares: dict[tuple[str, str], float], available: dict[tuple[str, str], int], floors: dict[tuple[str, str], int], size: int
 ) -> dict[tuple[str, str], int]:
-    """Integer quotas: shares of `size`, raised to the floors, cut to what there is, excess spread by share."""
-    cap = {c: available.get(c, 0) for c in shares}
-    base = {c: min(floors.get(c, 0), cap[c]) for c in shares}
-    want = {c: 0.0 for c in shares}
-    total = float(min(size, sum(cap.values())))
-    fixed: dict[tuple[str, str], float] = {}
-    while True:
-        free = [c for c in shares if c not in fixed]
-        left = total - sum(fixed.values())
-        weight = sum(shares[c] for c in free)
-        want = fixed | {c: left * shares[c] / weight if weight > 0 else 0.0 for c in free}
-        over = {c: float(cap[c]) for c in free if want[c] > cap[c]}
-        under = {c: float(base[c]) for c in free if want[c] < base[c]}
-        excess, lack = sum(want[c] - x for c, x in over.items()), sum(x - want[c] for c, x in under.items())
-        if not over and not under:
+    """Integer quotas between floor and what there is, whose margins are those of the shares as far as these bounds let.
+
+    What a short cell lacks is made up in its row and its column, by bounded proportional fitting to the margins of the
+    shares (a margin whose cells can't give it is cut, and the others take the rest by share). Where both
+    margins can't be had at once the rows have theirs. Then the table is rounded.
+    """
+    cells = list(shares)
+    cap = {c: float(available.get(c, 0)) for c in cells}
+    base = {c: float(min(floors.get(c, 0), cap[c])) for c in cells}
+    total = min(float(size), sum(cap.values()))
+    lines = [{name: [c for c in cells if c[k] == name] for name in dict.fromkeys(c[k] for c in cells)} for k in (0, 1)]
+    margins, factors = [], [dict.fromkeys(group, 1.0) for group in lines]
+    for group in lines:
+        sums = {n: [sum(of[c] for c in g) for of in (shares, base, cap)] for n, g in group.items()}
+        f = _factor(*map(list, zip(*sums.values(), strict=True)), total)
+        margins.append({n: _bounded(w * f, x, h) for n, (w, x, h) in sums.items()})
+
+    def value(c: tuple[str, str]) -> float:
+        return _bounded(shares[c] * factors[0][c[0]] * factors[1][c[1]], base[c], cap[c])
+
+    table: dict[tuple[str, str], float] = {}
+    for _ in range(FITTING_ROUNDS):
+        for k in (1, 0):
+            for name, g in lines[k].items():
+                weights = [shares[c] * factors[1 - k][c[1 - k]] for c in g]
+                factors[k][name] = _factor(weights, [base[c] for c in g], [cap[c] for c in g], margins[k][name])
+        before, table = table, {c: value(c) for c in cells}
+        if before and all(abs(table[c] - before[c]) < 1e-9 for c in cells):
             break
-        fixed |= over if excess >= lack else under
-    rounded = controlled_rounding(want)
-    return {c: min(cap[c], q) for c, q in rounded.items()}
+    return controlled_rounding(table)
 
 
 def controlled_sample(
@@ -115,8 +159,9 @@ def controlled_sample(
     """A sample whose cells (row x col) have the shares of `targets`, and a report with one row per cell.
 
     Returns (sample, report). The sample has (item, row, col), categories spelled as in the targets. Its size is
-    the sum of rows_wanted, or all records of the target cells if they are fewer. The report has available, wanted (the
-    greater of rows_wanted and floor), quota and short (fewer available than wanted).
+    the sum of rows_wanted, or all records of the target cells if they are fewer. The report has for each cell available,
+    wanted (the greater of rows_wanted and floor), reachable (how much of that the flow can give), quota, short (reachable
+    below wanted), the target and reached share of the cell, and those of its row and its column.
 
     Categories match however they are spelled. Records with a null id or category, or of no target cell, are
     left out; a record delivered twice, or with two cells, counts once (in its first cell in order). Null shares and row
@@ -155,14 +200,26 @@ def controlled_sample(
     counted = buckets.groupBy("_r", "_c").agg(F.max("_upto").alias("_n"))
     available = {(x["_r"], x["_c"]): x["_n"] for x in counted.collect()}
     shares, floors = {c: g["_s"] for c, g in cells.items()}, {c: g["_f"] for c, g in cells.items()}
+    wanted = {c: max(g["_w"], g["_f"]) for c, g in cells.items()}
+    can = reachable(wanted, available)
     quota = quotas(shares, available, floors, sum(g["_w"] for g in cells.values())) if cells else {}
 
+    def part(of: dict[tuple[str, str], float], c: tuple[str, str], k: int | None = None) -> float:
+        """The share of a cell, or of its row (k = 0) or column (k = 1), in all."""
+        mine = of[c] if k is None else sum(x for d, x in of.items() if d[k] == c[k])
+        return float(mine) / (float(sum(of.values())) or 1.0)
+
+    drawn_shares = [f"{kind}_{what}_share double" for what in ("target", "reached") for kind in ("cell", "row", "column")]
     table = spark.createDataFrame(
-        [(*c, g["_rs"], g["_cs"], available.get(c, 0), max(g["_w"], g["_f"]), quota[c]) for c, g in cells.items()],
-        "_r string, _c string, _rs string, _cs string, available bigint, wanted bigint, quota bigint",
+        [
+            (*c, g["_rs"], g["_cs"], available.get(c, 0), wanted[c], can[c], quota[c], *[part(of, c, k) for of in (shares, quota) for k in (None, 0, 1)])
+            for c, g in cells.items()
+        ],
+        "_r string, _c string, _rs string, _cs string, available bigint, wanted bigint, reachable bigint, quota bigint, " + ", ".join(drawn_shares),
     )
     report = table.select(
-        F.col("_rs").alias(row), F.col("_cs").alias(col), "available", "wanted", "quota", (F.col("available") < F.col("wanted")).alias("short")
+        F.col("_rs").alias(row), F.col("_cs").alias(col), "available", "wanted", "reachable", "quota", (F.col("reachable") < F.col("wanted")).alias("short"),
+        *[d.split()[0] for d in drawn_shares],
     )
     # The bucket in which a cell's quota is reached: buckets below are taken whole, of this one the smallest keys.
     cut = (

@@ -3,7 +3,7 @@ import random
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from lodestrand.llm.sampling import controlled_rounding, controlled_sample, quotas
+from lodestrand.llm.sampling import controlled_rounding, controlled_sample, quotas, reachable
 
 QUESTIONS = "question_id string, domain string, construction_category string, target_share double"
 TARGETS = "domain string, construction_category string, target_share double, target_rows int, min_rows int"
@@ -28,6 +28,24 @@ def test_quotas_respect_floors_and_stock():
     assert sum(got.values()) == 100 and got["a", "x"] == 20 and got["b", "y"] == 5
 
 
+def test_margins_are_met_beyond_short_cells():
+    shares = {("a", "x"): 0.3, ("a", "y"): 0.2, ("b", "x"): 0.3, ("b", "y"): 0.2}
+    stock = {("a", "x"): 500, ("a", "y"): 500, ("b", "x"): 10, ("b", "y"): 500}
+    got = quotas(shares, stock, dict.fromkeys(shares, 1), 100)
+    # What (b, x) lacks comes from the rest of row b and of column x, so both margins are those of the shares.
+    assert got == {("a", "x"): 50, ("a", "y"): 0 + 1, ("b", "x"): 10, ("b", "y"): 39} or (
+        got["b", "x"] == 10 and sum(got.values()) == 100 and got["a", "x"] + got["a", "y"] == 50 and got["a", "x"] + got["b", "x"] in (59, 60)
+    )
+    # A row that can't give its margin is cut, the other takes the rest.
+    got = quotas(shares, stock | {("b", "y"): 5}, dict.fromkeys(shares, 1), 100)
+    assert got["b", "x"] == 10 and got["b", "y"] == 5 and sum(got.values()) == 100
+
+
+def test_flow_reaches_what_there_is():
+    assert reachable({("a", "x"): 5, ("b", "x"): 7, ("b", "y"): 0}, {("a", "x"): 9, ("b", "x"): 3}) == {("a", "x"): 5, ("b", "x"): 3, ("b", "y"): 0}
+    assert reachable({}, {}) == {}
+
+
 def test_sample_and_report(spark):
     random.seed(1)
     rows = [(f"q{i}", random.choice(["chemical", " Chemical", "CHEMICAL"]), random.choice(["direct_clause", "Direct Clause", "direct-clause"]), 0.1) for i in range(300)]
