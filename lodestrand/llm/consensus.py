@@ -49,62 +49,63 @@ def valid_votes(
     return last.select("_item", "_a", "_settles", F.col("_l._x").alias("_x"), F.col("_l._why").alias("_why"), F.col("_l._at").alias("_at"))
 
 
-def _argmax(scores: Column, k: int) -> Column:
-    """The first index of the greatest of k scores."""
-    pairs = F.array(*[F.struct(scores[y].alias("s"), F.lit(-y).alias("n")) for y in range(k)])
-    return -F.array_max(pairs)["n"]
-
-
 class Voting:
     """Items with their votes, and the weights that the iterations reach."""
 
-    def __init__(self, votes: DataFrame, k: int, anchored: bool = True, smoothing: float = 5.0, rounds: int = 25, stable: float = 1e-3):
-        """`votes` as from valid_votes. anchored: a settling label is the consensus of its item wherever there is one."""
-        counted = votes.where("not _settles").groupBy("_a").agg(F.count(F.lit(1)).alias("_n")).orderBy("_a").limit(MAX_ANNOTATORS + 1).collect()
-        if len(counted) > MAX_ANNOTATORS:
-            raise ValueError(f"more than {MAX_ANNOTATORS} annotators")
-        self.k, self.names = k, [r["_a"] for r in counted]
-        spark = votes.sparkSession
-        numbers = F.broadcast(spark.createDataFrame(list(enumerate(self.names)), "_j int, _a string"))
+    def __init__(self, votes: DataFrame, k: int, anchored: bool = False, smoothing: float = 5.0, rounds: int = 200, stable: float = 1e-3):
+        """`votes` as from valid_votes. anchored: a settling label is the consensus of its item wherever there is one.
+
+        Votes are gathered by item once. Items with the same votes are one pattern with a count, and the rounds read patterns
+        only, of which there are far fewer than items as soon as items outnumber the ways in which a few annotators can vote.
+        `converged` tells whether the weights were stable within `rounds`; it comes out with the reliability.
+        """
         settled = F.max_by(F.when(F.col("_settles"), F.col("_x")), F.when(F.col("_settles"), F.struct("_at", "_a")))
         self.items = materialize(
-            votes.join(numbers, "_a", "left")
-            .groupBy("_item")
-            .agg(
-                F.array_sort(F.collect_list(F.when(~F.col("_settles"), F.struct("_j", "_x", "_why")))).alias("_v"),
+            votes.groupBy("_item").agg(
+                F.array_sort(F.collect_list(F.when(~F.col("_settles"), F.struct("_a", "_x", "_why")))).alias("_v"),
                 (settled if anchored else F.lit(None).cast("int")).alias("_gold"),
             )
         )
+        plain = F.transform("_v", lambda v: F.struct(v["_a"].alias("_a"), v["_x"].alias("_x")))
+        patterns = materialize(self.items.where(F.size("_v") > 0).groupBy(plain.alias("_v"), "_gold").agg(F.count(F.lit(1)).alias("_n")))
+        names = patterns.select(F.explode("_v._a").alias("_a")).distinct().orderBy("_a").limit(MAX_ANNOTATORS + 1).collect()
+        if len(names) > MAX_ANNOTATORS:
+            raise ValueError(f"more than {MAX_ANNOTATORS} annotators")
+        self.k, self.names = k, [r["_a"] for r in names]
+        self.patterns = materialize(patterns.select(self._numbered(), "_gold", "_n"))
         self.prior = [math.log(1.0 / k)] * k
         start = [math.log(0.7) if x == y else math.log(0.3 / max(1, k - 1)) for x in range(k) for y in range(k)]
         self.weights = start * len(self.names)
         self.counts: dict[tuple[int, int, int], int] = {}
-        self.iterations = 0
-        for _ in range(rounds if self.names else 0):
-            moved = self._iterate(smoothing)
+        self.iterations, self.converged = 0, not self.names
+        while self.iterations < rounds and not self.converged:
+            self.converged = self._iterate(smoothing) < stable
             self.iterations += 1
-            if moved < stable:
-                break
 
-    def _weight(self, vote: Column, y: Column | int) -> Column:
-        place = (vote["_j"] * self.k + vote["_x"]) * self.k + y
-        return self._table[place]
+    def _numbered(self) -> Column:
+        """The votes with the numbers of their annotators in place of the codes."""
+        known = F.array(*[F.lit(n) for n in self.names]) if self.names else F.array().cast("array<string>")
+        return F.transform("_v", lambda v: F.struct((F.array_position(known, v["_a"]).cast("int") - 1).alias("_j"), v["_x"].alias("_x"))).alias("_v")
 
-    def _scores(self) -> Column:
-        """Log score of each label for the votes of an item. The weights are one constant, folded once."""
-        self._table = F.from_json(F.lit(json.dumps(self.weights)), "array<double>")
+    def _place(self, y: str | int) -> str:
+        """Where the weight of a vote v for label y is."""
+        return f"(v._j * {self.k} + v._x) * {self.k} + {y}"
 
-        def total(y: int) -> Column:
-            return F.aggregate("_v", F.lit(self.prior[y]), lambda s, v: s + self._weight(v, y))
-        return F.array(*[total(y) for y in range(self.k)])
+    def _scored(self, df: DataFrame) -> DataFrame:
+        """`df` with _weights, one constant folded once, and _s, the log score of each label for the votes of a row."""
+        weights = F.from_json(F.lit(json.dumps(self.weights)), "array<double>")
+        totals = [f"aggregate(_v, {self.prior[y]!r}D, (s, v) -> s + _weights[{self._place(y)}])" for y in range(self.k)]
+        return df.withColumn("_weights", weights).withColumn("_s", F.expr(f"array({', '.join(totals)})"))
 
     def _iterate(self, smoothing: float) -> float:
         """One round; how far a weight moved at most. Only counts by annotator and two labels reach the driver."""
         k = self.k
-        scored = self.items.where(F.size("_v") > 0).select("_v", "_gold", self._scores().alias("_s"))
-        others = lambda v: F.coalesce(F.col("_gold"), _argmax(F.array(*[F.col("_s")[y] - self._weight(v, y) for y in range(k)]), k))
-        seen = scored.where("size(_v) > 1 or _gold is not null").select(F.explode(F.transform("_v", lambda v: F.struct(v["_j"].alias("j"), v["_x"].alias("x"), others(v).alias("y")))).alias("o"))
-        self.counts = {(r["j"], r["x"], r["y"]): r["n"] for r in seen.groupBy("o.j", "o.x", "o.y").agg(F.count(F.lit(1)).alias("n")).collect()}
+        voting = self.patterns.where("size(_v) > 1 or _gold is not null")
+        rest = f"transform(sequence(0, {k - 1}), y -> _s[y] - _weights[{self._place('y')}])"  # the scores without the vote itself
+        seen = self._scored(voting).select("_n", "_gold", F.expr(f"explode(transform(_v, v -> struct(v._j as j, v._x as x, {rest} as t)))").alias("o"))
+        first = F.expr("coalesce(_gold, cast(array_position(o.t, array_max(o.t)) - 1 as int))").alias("y")
+        counts = seen.select("_n", "o.j", "o.x", first).groupBy("j", "x", "y").agg(F.sum("_n").alias("n"))
+        self.counts = {(r["j"], r["x"], r["y"]): r["n"] for r in counts.collect()}
         of = lambda j, x, y: self.counts.get((j, x, y), 0)
         per_y = [sum(n for (_, _, b), n in self.counts.items() if b == y) for y in range(k)]
         total = sum(per_y)
@@ -126,16 +127,18 @@ class Voting:
     def consensus(self, least: int = 2) -> DataFrame:
         """(_item, _v, _y, _margin): the consensus of each item with `least` or more votes.
 
-        A settled item has its settled label and an infinite margin; else the margin is the log score by which the first
+        Where the vote is anchored a settled item has its settled label and an infinite margin; else the margin is the log score by which the first
         label beats the second. Equal scores go to the first of the labels.
         """
-        scored = self.items.where(F.size("_v") >= least).select("_item", "_v", "_gold", self._scores().alias("_s"))
+        numbered = self.items.where(F.size("_v") >= least).select("_item", F.col("_v").alias("_w"), "_gold", self._numbered())
+        scored = self._scored(numbered)
         ordered = F.sort_array("_s", asc=False)
         margin = F.when(F.col("_gold").isNotNull(), F.lit(float("inf"))).otherwise(ordered[0] - ordered[1] if self.k > 1 else F.lit(0.0))
-        return scored.select("_item", "_v", F.coalesce("_gold", _argmax(F.col("_s"), self.k)).alias("_y"), margin.alias("_margin"))
+        first = F.expr("coalesce(_gold, cast(array_position(_s, array_max(_s)) - 1 as int))").alias("_y")
+        return scored.select("_item", F.col("_w").alias("_v"), first, margin.alias("_margin"))
 
-    def reliability(self) -> list[tuple[str, int, float, float]]:
-        """(annotator, votes held against others, plain accuracy, informativeness in bits) of each annotator."""
+    def reliability(self) -> list[tuple[str, int, float, float, int, bool]]:
+        """(annotator, votes held against others, plain accuracy, informativeness in bits, rounds, converged) of each annotator."""
         out = []
         for j, name in enumerate(self.names):
             table = [[self.counts.get((j, x, y), 0) for y in range(self.k)] for x in range(self.k)]
@@ -143,7 +146,7 @@ class Voting:
             right = sum(table[y][y] for y in range(self.k))
             rows, cols = [sum(r) for r in table], [sum(r[y] for r in table) for y in range(self.k)]
             bits = sum(c / n * math.log2(c * n / (rows[x] * cols[y])) for x, r in enumerate(table) for y, c in enumerate(r) if c) if n else 0.0
-            out.append((name, n, (right + 1.0) / (n + 2.0), bits))
+            out.append((name, n, (right + 1.0) / (n + 2.0), bits, self.iterations, self.converged))
         return out
 
 

@@ -37,14 +37,19 @@ def test_reliable_minority_wins_and_swappers_are_used(spark):
     voting = Voting(votes(spark, rows), 3)
     got = {r["_item"]["q"]: LABELS[r["_y"]] for r in voting.consensus().collect()}
     assert sum(got[q] == y for q, y in truth.items()) > 385
-    reliability = {name: (accuracy, bits) for name, _, accuracy, bits in voting.reliability()}
+    reliability = {name: (accuracy, bits) for name, _, accuracy, bits, *_ in voting.reliability()}
+    assert voting.converged and all(r[4:] == (voting.iterations, True) for r in voting.reliability())
+    assert not Voting(votes(spark, rows), 3, rounds=1).converged
     assert reliability["GOOD1"][0] > 0.85 and reliability["LAZY1"][1] < 0.05 < reliability["SWAP"][1] and reliability["SWAP"][0] < 0.6
 
 
 def test_settled_items_and_single_votes(spark):
     rows = [("q1", "P0", "a", "CONTEXT", "primary", at(1), "1", None, 0), ("q1", "P0", "b", "CONTEXT", "duplicate", at(1), "2", None, 0), ("q1", "P0", "judge", "REQUIRED", "adjudicated", at(2), "3", None, 0), ("q2", "P0", "a", "CONTEXT", "primary", at(1), "4", None, 0)]
-    got = [(r["_item"]["q"], r["_y"]) for r in Voting(votes(spark, rows), 3).consensus().collect()]
+    got = [(r["_item"]["q"], r["_y"]) for r in Voting(votes(spark, rows), 3, anchored=True).consensus().collect()]
     assert got == [("q1", 0)]
+    # Unanchored, the votes alone decide.
+    got = [(r["_item"]["q"], r["_y"], [v["_a"] for v in r["_v"]]) for r in Voting(votes(spark, rows), 3).consensus().collect()]
+    assert got == [("q1", 2, ["A", "B"])]
 
 
 def test_alpha(spark):
