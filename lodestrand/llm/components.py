@@ -12,6 +12,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestrand.session import materialize
 
@@ -37,8 +38,9 @@ def contract(edges: DataFrame, seed: int = 20260723) -> DataFrame:
     never collapses names its own component and is not listed. Which vertex names a component depends on the
     seed only. No edges: an empty result.
 
-    Each round halves the edges between two vertices of degree one and loses a quarter of all vertices on average;
-    both tables of a round are written, so that lineage stays short and a lost executor costs nothing.
+    An edge that is a component by itself needs no coin: it collapses in the first round that sees it. Each other round
+    loses a quarter of the vertices on average. Both tables of a round, and each step of the unwinding, are written, so that plans stay
+    short and a lost executor costs nothing.
     """
     live = materialize(
         edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u is not null and v is not null and u <> v").distinct()
@@ -52,7 +54,13 @@ def contract(edges: DataFrame, seed: int = 20260723) -> DataFrame:
             return F.xxhash64(F.lit(seed), F.lit(turn), F.col(end)).bitwiseAND(1) == 1
 
         both = live.unionByName(live.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        mates = materialize(both.where(~heads("u") & heads("v")).groupBy(F.col("u").alias("t")).agg(F.min("v").alias("h")))
+        around = both.groupBy(F.col("u").alias("t")).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("m"), F.min(F.when(~heads("u") & heads("v"), F.col("v"))).alias("h"))
+        around = materialize(around)
+        ends = around.where("n = 1")
+        lone = ends.join(ends.select(F.col("t").alias("m"), F.col("m").alias("t")), ["t", "m"]).where("t < m")
+        pairs = lone.select(F.explode(F.array(F.struct("t", F.col("m").alias("h")), F.struct(F.col("m").alias("t"), F.lit(None).cast("string").alias("h")))).alias("p")).select("p.t", F.col("p.h").alias("g"), F.lit(True).alias("alone"))
+        mates = around.select("t", "h").join(pairs, "t", "left").select("t", F.when(F.col("alone"), F.col("g")).otherwise(F.col("h")).alias("h")).where("h is not null")
+        mates = materialize(mates)
         rounds.append(mates)
         relabelled = (
             live.join(mates.select(F.col("t").alias("u"), F.col("h").alias("hu")), "u", "left")
@@ -66,28 +74,31 @@ def contract(edges: DataFrame, seed: int = 20260723) -> DataFrame:
     if not rounds:
         return live.select(F.col("u").alias("vertex"), F.col("v").alias("component"))
     labels = rounds[-1].select(F.col("t").alias("vertex"), F.col("h").alias("component"))
-    for k, mates in enumerate(reversed(rounds[:-1])):
+    for mates in reversed(rounds[:-1]):
         known = labels.select(F.col("vertex").alias("h"), F.col("component").alias("_c"))
-        labels = labels.unionByName(mates.join(known, "h", "left").select(F.col("t").alias("vertex"), F.coalesce("_c", "h").alias("component")))
-        if k % 4 == 3:
-            labels = materialize(labels)
-    return materialize(labels)
+        labels = materialize(labels.unionByName(mates.join(known, "h", "left").select(F.col("t").alias("vertex"), F.coalesce("_c", "h").alias("component"))))
+    return labels
 
 
 def components(records: DataFrame, item: str, entities: dict[str, Callable[[str], Column]], seed: int = 20260723) -> DataFrame:
     """(item, component, linked): records that share an entity, directly or through others, share a component.
 
-    `entities` gives for each column the function that brings its values to one spelling (null: names nothing).
+    `entities` gives for each column the function that brings its values to one spelling (null: names nothing); of a column of
+    arrays every element is an entity, if the function gives an array.
     Records with a null item are left out; a record delivered twice counts once and has the entities of all its
     rows. A record that names no entity is a component of its own (linked false). Extra columns are ignored.
 
     Records that name the same entities are one vertex from the start, formed before anything is shuffled by
     entity, so that an entity shared by a third of all records has no more edges than any other.
     """
-    named = records.select(
-        F.col(item).alias("_i"),
-        F.array_compact(F.array(*[F.concat(F.lit(f"e{k}:"), f(c)) for k, (c, f) in enumerate(entities.items())])).alias("_e"),
-    ).where("_i is not null")
+    found = records.select(F.col(item).alias("_i"), *[f(c).alias(f"_e{k}") for k, (c, f) in enumerate(entities.items())])
+
+    def prefixed(k: int) -> Column:
+        many = isinstance(found.schema[f"_e{k}"].dataType, T.ArrayType)
+        each = F.col(f"_e{k}") if many else F.array(f"_e{k}")
+        return F.coalesce(F.array_compact(F.transform(each, lambda e: F.concat(F.lit(f"e{k}:"), e))), F.array().cast("array<string>"))
+
+    named = found.select("_i", F.concat(*map(prefixed, range(len(entities)))).alias("_e")).where("_i is not null")
     one = named.groupBy("_i").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("_e")))).alias("_e"))
     one = one.withColumn("_v", F.when(F.size("_e") > 0, F.concat(F.lit("s:"), F.array_join("_e", "\u0001"))).otherwise(F.concat(F.lit("r:"), F.col("_i").cast("string"))))
     edges = one.where(F.size("_e") > 0).select("_v", "_e").dropDuplicates(["_v"]).select(F.col("_v").alias("u"), F.explode("_e").alias("v"))

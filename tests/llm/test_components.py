@@ -60,6 +60,13 @@ def test_records_sharing_entities_and_splits(spark):
     assert all(abs(r["share"] - r["target_share"]) < 0.06 for r in report.collect())
 
 
+def test_elements_of_arrays_are_entities(spark):
+    rows = [("a", "G1", ["x", None, "y"]), ("b", "G2", ["y"]), ("c", "G3", []), ("d", "G2", None), ("e", None, ["z"]), ("f", "G3", ["w"])]
+    df = spark.createDataFrame(rows, "id string, source string, authors array<string>")
+    got = {r["id"]: r["component"] for r in components(df, "id", {"source": letters_and_number, "authors": F.col}).collect()}
+    assert got["a"] == got["b"] == got["d"] and got["c"] == got["f"] and len(set(got.values())) == 3
+
+
 def test_empty_records(spark):
     none = spark.createDataFrame([], "id string, source string")
     members = components(none, "id", {"source": letters_and_number})
