@@ -59,13 +59,14 @@ def sized(df: DataFrame, doc: str, source: str, text: str, vocabulary: str = tok
 
 def mix(
     records: DataFrame, targets: DataFrame, doc: str = "doc_id", source: str = "source", share: str = "target_share",
-    repeats: str = "max_repeats", total: float | None = None, seed: int = 20260723,
+    repeats: str = "max_repeats", total: float | None = None, exact: bool = False, seed: int = 20260723,
 ) -> tuple[DataFrame, DataFrame]:
     """(mix, report) of `records` as from `sized`.
 
     The mix has doc, source and repeats (1 or more). The report has for each target its share, the tokens there are, the
-    tokens aimed at, epochs, the tokens and records in the mix, and the share reached. `total` is the size in tokens;
-    None means greatest_exact, a number beyond what sources can give clamps them at max_repeats.
+    tokens aimed at, epochs, the tokens and records in the mix, and the share reached. `total` is the size in tokens, by
+    default that of all records of the target sources: sources too small for their part are clamped at max_repeats, and
+    what they lack goes to the others. exact: the total is greatest_exact instead, so that no source is clamped.
 
     Sources match however they are spelled. Records whose source has no target, and those without tokens, are not in the
     mix. Null or negative shares and repeats count as 0, targets given twice add up their shares (and take the
@@ -90,7 +91,9 @@ def mix(
     buckets = buckets.select("_s", "_b", "_t", F.sum("_t").over(upward).alias("_upto"))
     sizes = {r["_s"]: float(r["_t"]) for r in buckets.groupBy("_s").agg(F.max("_upto").alias("_t")).collect()}
     shares, caps = {s: g["_w"] for s, g in rows.items()}, {s: float(g["_r"]) for s, g in rows.items()}
-    aimed = water_fill(shares, sizes, caps, greatest_exact(shares, sizes, caps) if total is None else total)
+    if total is None:
+        total = greatest_exact(shares, sizes, caps) if exact else sum(sizes.values())
+    aimed = water_fill(shares, sizes, caps, total)
     plan = []
     for s, g in rows.items():
         size = sizes.get(s, 0.0)

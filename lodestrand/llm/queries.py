@@ -105,9 +105,9 @@ def p4_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_reliability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Votes, accuracy and informativeness of each annotator, each against the consensus of the others."""
+    """Votes, accuracy and informativeness of each annotator, each against the consensus of the others, and whether the rounds became stable."""
     voting = consensus.Voting(_votes(spark, sf_dir), len(LABELS))
-    return spark.createDataFrame(voting.reliability(), "annotator_code string, votes bigint, accuracy double, bits double")
+    return spark.createDataFrame(voting.reliability(), "annotator_code string, votes bigint, accuracy double, bits double, rounds int, converged boolean")
 
 
 def _members(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,6 +127,12 @@ def p5_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assigned.select("question_id", "component", "split_name")
 
 
+def p5_linked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The component of each question where authoring sources link questions as source groups do, so that links reach over many questions."""
+    entities = {"source_group_id": components.letters_and_number, "authoring_source_ids": lambda c: F.transform(c, lambda s: F.nullif(F.trim(s), F.lit("")))}
+    return components.components(table(spark, sf_dir, "queries"), "question_id", entities)
+
+
 def p5_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The shares that the new splits reach."""
     return components.assign_splits(_members(spark, sf_dir), table(spark, sf_dir, "split_targets"))[1]
@@ -158,20 +164,23 @@ def _sized(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents of the mix and how often each appears."""
+    """The documents of a mix as large as the corpus and how often each appears; small sources are clamped at max_repeats."""
     return mixing.mix(_sized(spark, sf_dir), table(spark, sf_dir, "mix_targets"))[0]
 
 
 def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The shares that the mix reaches."""
+    """The shares that this mix reaches."""
     return mixing.mix(_sized(spark, sf_dir), table(spark, sf_dir, "mix_targets"))[1]
 
 
-def p8_shares_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The shares of a mix as large as the corpus, for which small sources are clamped at max_repeats."""
-    sizes = _sized(spark, sf_dir)
-    total = float(sizes.agg(F.sum("_n")).first()[0] or 0)
-    return mixing.mix(sizes, table(spark, sf_dir, "mix_targets"), total=total)[1]
+def p8_mix_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The greatest mix in which every source that has records reaches its share, so that none is clamped."""
+    return mixing.mix(_sized(spark, sf_dir), table(spark, sf_dir, "mix_targets"), exact=True)[0]
+
+
+def p8_shares_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shares that the greatest exact mix reaches."""
+    return mixing.mix(_sized(spark, sf_dir), table(spark, sf_dir, "mix_targets"), exact=True)[1]
 
 
 def _truncated(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -193,8 +202,8 @@ def p9_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = (
     p1_found, p1_normalized, p2_found, p2_report,
-    p3_found, p3_report, p3_sample, p4_found, p4_reasons, p4_agreement, p4_reliability, p5_found, p5_assignment, p5_shares,
-    p6_found, p6_positions, p7_ids, p8_mix, p8_shares, p8_shares_full,
+    p3_found, p3_report, p3_sample, p4_found, p4_reasons, p4_agreement, p4_reliability, p5_found, p5_assignment, p5_shares, p5_linked,
+    p6_found, p6_positions, p7_ids, p8_mix, p8_shares, p8_mix_exact, p8_shares_exact,
     p9_found, p9_rates,
 )
 

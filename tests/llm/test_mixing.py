@@ -19,11 +19,14 @@ def test_mix_reaches_shares_and_caps(spark):
     rows = [(i, "big", 10 + i % 7) for i in range(3000)] + [(5000 + i, "small", 11) for i in range(40)] + [(9000, "unnamed", 5), (9001, "small", 0), (0, "big", 10)]
     records = spark.createDataFrame(rows, "_d bigint, _s string, _n bigint")
     targets = spark.createDataFrame([("BIG", 0.5, 1), ("Small ", 0.5, 3), ("absent", 0.2, 2), (None, 0.1, 1)], TARGETS)
-    drawn, report = mix(records, targets)
+    drawn, report = mix(records, targets, exact=True)
     by = {r["source"]: r for r in report.collect()}
     assert by["Small "]["tokens_in_mix"] == 40 * 11 * 3 and abs(by["BIG"]["share_reached"] - 0.5) < 0.01 and by["absent"]["tokens_in_mix"] == 0
     got = drawn.groupBy("source").agg(F.max("repeats").alias("m"), F.count("*").alias("n"), F.count_distinct("doc_id").alias("d")).collect()
     assert all(r["n"] == r["d"] for r in got) and {r["source"]: r["m"] for r in got} == {"BIG": 1, "Small ": 3}
+    # By default the mix is as large as the records of its sources, and the small source is clamped.
+    clamped = {r["source"]: r for r in mix(records, targets)[1].collect()}
+    assert clamped["Small "]["epochs"] == 3.0 and abs(sum(r["tokens_in_mix"] for r in clamped.values()) - clamped["BIG"]["tokens_available"] - 440) < 20
     full = {r["source"]: r for r in mix(records, targets, total=10_000.0)[1].collect()}
     assert full["Small "]["epochs"] == 3.0 and abs(full["BIG"]["tokens_in_mix"] - (10_000 - 1320)) < 20
 
