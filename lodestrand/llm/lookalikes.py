@@ -19,29 +19,38 @@ from pyspark.sql import types as T
 from lodestrand.session import ship_package
 
 # Letters that look like a Latin one, pairwise.
-CYRILLIC_LATIN = "АA ВB ЕE КK МM НH ОO РP СC ТT УY ХX ЅS ІI ЈJ ҮY ԚQ ԜW аa еe оo рp сc уy хx ѕs іi јj һh ԁd ԛq ԝw ӏl үy"
+CYRILLIC_LATIN = "АA ВB ЕE КK МM НH ОO РP СC ТT УY ХX ЅS ІI ЈJ ҮY ԚQ ԜW ӀI аa еe оo рp сc уy хx ѕs іi јj һh ԁd ԛq ԝw ӏl үy"
 GREEK_LATIN = "ΑA ΒB ΕE ΖZ ΗH ΙI ΚK ΜM ΝN ΟO ΡP ΤT ΥY ΧX ϹC ͿJ νv οo ϲc ϳj"
+ARMENIAN_LATIN = "ՍU ՕO Տs ԼL Ւr հh ոn սu օo ցg զq քf յj"
+CHEROKEE_LATIN = "ᎪA ᏴB ᏟC ᎠD ᎬE ᏀG ᎻH ᎥI ᎫJ ᏦK ᏞL ᎷM ᏢP ᏒR ᏚS ᎢT ᏙV ᎳW ᏃZ"
+# Greek letters that look like a Latin one within a word, but stand by themselves or at its ends as symbols.
+GREEK_INNER = "αa γy ιi κk ρp τt υu ωw"
+# Latin letters that look like another Latin one.
+LATIN_INNER = "ɑa ɡg"
 # Katakana that look like an ideograph, pairwise.
 KANA_HAN = "エ工 カ力 ニ二 ロ口 ハ八 タ夕 ト卜 オ才 チ千 ヌ又 ヒ匕 ノ丿 ー一"
 # Signs of units that are compatibility forms of letters.
 UNIT_SIGNS = "\u00b5\u2126\u212a\u212b"
 
-TO_LATIN = {p[0]: p[1] for p in (CYRILLIC_LATIN + " " + GREEK_LATIN).split()}
-FROM_LATIN = {("CYRILLIC", p[1]): p[0] for p in CYRILLIC_LATIN.split()} | {("GREEK", p[1]): p[0] for p in GREEK_LATIN.split()}
+PAIRS = {"CYRILLIC": CYRILLIC_LATIN, "GREEK": GREEK_LATIN, "ARMENIAN": ARMENIAN_LATIN, "CHEROKEE": CHEROKEE_LATIN}
+SYMBOLS = {p[0]: p[1] for p in GREEK_INNER.split()}
+TO_LATIN = {p[0]: p[1] for pairs in PAIRS.values() for p in pairs.split()} | SYMBOLS
+FROM_LATIN = {(s, p[1]): p[0] for s, pairs in PAIRS.items() for p in pairs.split()}
+LATIN_FORMS = {p[0]: p[1] for p in LATIN_INNER.split()}
 TO_HAN = {p[0]: p[1] for p in KANA_HAN.split()}
-ALPHABETS = ("LATIN", "GREEK", "CYRILLIC")
+ALPHABETS = ("LATIN", *PAIRS)
 
 #: Texts of these characters alone are plain; only the others are looked at closely.
 PLAIN = (
     r"^[\t\n\r\u0020-\u007e\u00a1-\u00ac\u00ae-\u00b4\u00b6-\u0131\u0134-\u013e\u0141-\u0148\u014a-\u017e\u0180-\u01c3"
-    r"\u01cd-\u01f0\u01f4-\u02af\u2010-\u2027\u2030-\u205e\u2190-\u22ff\u3001-\u3004\u3008-\u301f\u3400-\u4dbf\u4e00-\u9fff"
+    r"\u01cd-\u01f0\u01f4-\u0250\u0252-\u0260\u0262-\u02af\u2010-\u2027\u2030-\u205e\u2190-\u22ff\u3001-\u3004\u3008-\u301f\u3400-\u4dbf\u4e00-\u9fff"
     r"\uff01-\uff0f\uff1a-\uff20\uff3b-\uff40\uff5b-\uff60]*$"
 )
 
 
 @lru_cache(maxsize=65_536)
 def script(char: str) -> str:
-    """LATIN, GREEK, CYRILLIC, HAN, KANA or "" (anything else)."""
+    """One of ALPHABETS, HAN, KANA or "" (anything else)."""
     if unicodedata.category(char)[0] not in "LM":
         return "KANA" if char == "ー" else ""
     name = unicodedata.name(char, "")
@@ -125,7 +134,7 @@ def _consistent(token: str, others: list[str]) -> str | None:
     common = frozenset.intersection(*map(spellable, token))
     if len(present) == 1:
         own = next(iter(present))
-        if own == "LATIN" or "LATIN" not in common:
+        if own == "LATIN" or "LATIN" not in common or any(c in SYMBOLS for c in token):
             return None
         # A token wholly of stand-ins is meant as it is beside a word that only its script can spell.
         if any(frozenset.intersection(*map(spellable, t)) == {own} for t in others):
@@ -153,27 +162,52 @@ def normalize(text: str) -> tuple[str, list[str]]:
         out.append(form)
     chars = list(unicodedata.normalize("NFC", "".join(out)) if "combining mark" in kinds else "".join(out))
     plain = "".join(chars)
-    if any(c in TO_LATIN or c in TO_HAN or script(c) in ("GREEK", "CYRILLIC") for c in plain):
+    if any(c in TO_LATIN or c in TO_HAN or c in LATIN_FORMS or script(c) in PAIRS for c in plain):
         spans = _tokens(plain, ALPHABETS)
         words = [plain[b:e] for b, e in spans]
         for k, (b, e) in enumerate(spans):
-            # Symbols that only another script has may lead or end a Latin word; they are meant.
-            while e - b > 1 and "LATIN" not in spellable(plain[b]) and any("LATIN" in spellable(c) for c in plain[b + 1 : e]) and script(plain[b]) == "GREEK":
+            # Symbols of another script may lead or end a Latin word; they are meant.
+            while e - b > 1 and _symbol(plain[b]) and any("LATIN" in spellable(c) and c not in SYMBOLS for c in plain[b + 1 : e]):
                 b += 1
-            while e - b > 1 and "LATIN" not in spellable(plain[e - 1]) and script(plain[e - 1]) == "GREEK" and any(script(c) == "LATIN" for c in plain[b : e - 1]):
+            while e - b > 1 and _symbol(plain[e - 1]) and any(script(c) == "LATIN" for c in plain[b : e - 1]):
                 e -= 1
             target = _consistent(plain[b:e], words[max(0, k - 1) : k] + words[k + 1 : k + 2])
             if target:
                 chars[b:e] = [respell(c, target) for c in plain[b:e]]
                 kinds["stand-in letter"] = None
+            word = chars[b:e]
+            # A Latin letter that looks like another one stands in for it where all others are of the basic alphabet.
+            if any(c in LATIN_FORMS for c in word) and any(c.isascii() for c in word) and all(c.isascii() or c in LATIN_FORMS for c in word):
+                chars[b:e] = [LATIN_FORMS.get(c, c) for c in word]
+                kinds["stand-in letter"] = None
+        for b, e in _tokens(plain, ("HAN", "KANA")):
+            if any(script(c) == "HAN" for c in plain[b:e]) and _stand_in_kana(plain, b, e, chars):
+                kinds["stand-in ideograph"] = None
+        # Stand-ins with no ideograph beside them are read by the text: as ideographs, unless it has kana that look like none.
         kana = [c for c in plain if script(c) == "KANA"]
         if kana and all(c in TO_HAN for c in kana) and any(script(c) == "HAN" for c in plain):
-            for i, c in enumerate(chars):
-                chars[i] = TO_HAN.get(c, c)
+            chars = [TO_HAN.get(c, c) for c in chars]
             kinds["stand-in ideograph"] = None
     return "".join(chars), list(kinds)
 
 
+def _symbol(char: str) -> bool:
+    """Whether a letter may be a Greek symbol at the end of a Latin word."""
+    return script(char) == "GREEK" and ("LATIN" not in spellable(char) or char in SYMBOLS)
+
+
+def _stand_in_kana(plain: str, begin: int, end: int, chars: list[str]) -> bool:
+    """Respell the runs of kana of a token that are stand-ins throughout; of several kana only where the text has no others."""
+    real = any(script(c) == "KANA" and c not in TO_HAN for c in plain)
+    done = False
+    for b, e in _tokens(plain[begin:end], ("KANA",)):
+        run = plain[begin + b : begin + e]
+        if all(c in TO_HAN for c in run) and (len(run) == 1 or not real):
+            chars[begin + b : begin + e] = [TO_HAN[c] for c in run]
+            done = True
+    return done
+
+
 FOUND = T.StructType([T.StructField("text", T.StringType()), T.StructField("kinds", T.ArrayType(T.StringType()))])
 
 

@@ -26,3 +26,15 @@ def test_table(spark):
     got = {(r["record_id"], r["field_name"]): (r["text"], r["kinds"]) for r in normalized(df, "id", ("heading", "content"), "t").collect()}
     assert len(got) == 6 and got["1", "heading"] == ("plain", ["stand-in letter"]) and got["1", "content"] == (None, []) and got["3", "heading"] == ("", ["invisible"]) and got["3", "content"] == ("a b", ["space"])
     assert normalized(df.where("false"), "id", ("heading",), "t").count() == 0
+
+
+def test_stand_ins_of_more_alphabets_and_by_token():
+    cases = {
+        "ɡood": "good", "ɑlphɑ": "alpha", "Ꭺpple": "Apple", "tոte": "tnte", "ՕUTPUT": "OUTPUT", "meαsure": "measure", "sτorage": "storage", "ӀNPUT": "INPUT",
+        "ニ次加工 データ": "二次加工 データ", "ロ服 エ業": "口服 工業",
+    }
+    for text, plain in cases.items():
+        assert normalize(text)[0] == plain and normalize(text)[1], text
+    # What is meant stays: symbols, transcriptions, words of another script, Japanese words.
+    for text in ("α-pinene", "αD", "μg", "kρ", "ɡ", "ɡʊd", "ρ", "αρ", "Եւ ոչ", "Хлеб и вода", "データ加工", "カード 支払", "β-blocker"):
+        assert normalize(text) == (text, []), text
