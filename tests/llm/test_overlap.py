@@ -46,7 +46,27 @@ def test_pairs_of_one_row_only(spark):
     for block in (2048, 2):
         found = cross_split_overlaps(spark.createDataFrame(folds, FOLDS), spark.createDataFrame(questions, QUESTIONS), block=block)
         got = sorted((r["batch"], r["evaluated"], r["trained"], r["folds"]) for r in found.collect())
-        assert got == [("B", "a", "b", 1), ("B", "a", "c", 1)]
+        assert got == [("B", "a", "b", ["0"]), ("B", "a", "c", ["0"])]
+
+
+def test_any_fold(spark):
+    questions = [("a", "the very same text", ""), ("b", "the very same text", "")]
+    folds = [("B", f, ["b"], ["a"], "") for f in (62, 63, 100, -1, None)] + [("B", 7, ["a"], ["b"], "")]
+    found = cross_split_overlaps(spark.createDataFrame(folds, FOLDS), spark.createDataFrame(questions, QUESTIONS)).collect()
+    assert sorted((r["evaluated"], r["folds"]) for r in found) == [("a", ["", "-1", "100", "62", "63"]), ("b", ["7"])]
+
+
+def test_blocks_lose_nothing(spark):
+    random.seed(9)
+    texts = ["".join(random.choice("abcde库存量表") for _ in range(random.randrange(1, 60))) for _ in range(60)]
+    texts += [change(t, random.randrange(0, 1 + len(t) // 8)) for t in texts] + texts[:10]
+    questions = [(f"q{i:03}", t, "") for i, t in enumerate(texts)]
+    folds = [("B", f, [q for i, (q, *_) in enumerate(questions) if i % 3 != f], [q for i, (q, *_) in enumerate(questions) if i % 3 == f], "") for f in range(3)]
+    plain = [comparable(t) for t in texts]
+    want = sorted((f"q{i:03}", f"q{j:03}") for i, a in enumerate(plain) for j, b in enumerate(plain) if i % 3 != j % 3 and SequenceMatcher(None, a, b).ratio() >= 0.85)
+    for block in (2048, 7):
+        found = cross_split_overlaps(spark.createDataFrame(folds, FOLDS), spark.createDataFrame(questions, QUESTIONS), block=block)
+        assert sorted((r["evaluated"], r["trained"]) for r in found.collect()) == want
 
 
 def test_empty(spark):
