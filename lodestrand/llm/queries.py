@@ -193,10 +193,12 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p9_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with a text, cut ones and the rate of cutting of each source."""
+    """Documents with a text, cut ones, what showed the cut, and the rate of cutting of each source."""
     sources = table(spark, sf_dir, "documents").select("doc_id", slug("source").alias("source"))
     judged = sources.join(_truncated(spark, sf_dir), "doc_id")
-    counts = judged.groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.count_if("cut").alias("cut_documents"))
+    counts = judged.groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.count_if("cut").alias("cut_documents"), *[
+        F.count_if(F.col("cut") & (F.col("route") == r)).alias("by_" + r.replace(" ", "_")) for r in ("copy", "format", "line kind", "opening", "closing words")
+    ])
     return counts.withColumn("cut_rate", F.col("cut_documents") / F.col("documents"))
 
 
