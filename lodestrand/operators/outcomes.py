@@ -122,12 +122,13 @@ def entropy(scores: str) -> Column:
 
 def heuristic_policy(questions: DataFrame, scores: DataFrame, threshold: float = 0.15) -> DataFrame:
     """A path for each question with two scores or more, by its cue words and the gap of its two best scores."""
-    normal = text.fold(F.trim(F.regexp_replace("query_text", r"\s+", " ")))
+    normal = text.normalized("query_text", "cue")
     rows = questions.join(scores.where(F.size("scores") > 1), "question_id").select("question_id", text.contains_any(normal, TABLE_CUES).alias("t"), text.contains_any(normal, CITATION_CUES).alias("c"), gap("scores", 1).alias("g"))
     path = F.when(F.col("t") & F.col("c"), "P5").when(F.col("c"), "P3").when(F.col("t"), "P2").when(F.col("g") < threshold, "P1").otherwise("P0")
     return rows.select("question_id", path.alias("selected_path_id"))
 
 
+# What is known only after a path has run.
 FORBIDDEN = {"reranker_score", "reranker_agreement", "executed_overlap", "retrieved_target_properties", "ranked_units", "context_sidecars"}
 
 
@@ -136,7 +137,7 @@ def route_features(questions: DataFrame, scores: DataFrame, metadata: DataFrame,
     late = FORBIDDEN & (set(questions.columns) | set(metadata.columns))
     if late:
         raise ValueError(f"features cannot use {sorted(late)}")
-    normal = text.fold(F.trim(F.regexp_replace("query_text", r"\s+", " ")))
+    normal = text.normalized("query_text", "cue")
     shared = questions.join(scores.where(F.size("scores") > 1), "question_id").join(metadata, "question_id", "left").select(
         "question_id", "domain", F.coalesce(F.length(normal), F.lit(0)).alias("query_length"), F.round(F.col("scores")[0], 6).alias("bm25_top_score"), F.round(gap("scores", 1), 6).alias("bm25_gap_1_2"),
         F.round(gap("scores", 4), 6).alias("bm25_gap_1_5"), F.round(entropy("scores"), 6).alias("bm25_top10_entropy"), text.contains_any(normal, TABLE_CUES).cast("int").alias("has_table_context_cue"),

@@ -68,6 +68,46 @@ def import_issues(baseline: DataFrame, reviewed: DataFrame, key: str, immutable:
     return both.select(key, F.explode(codes).alias("code"))
 
 
+def authoring_issues(questions: DataFrame, sections: DataFrame, edges: DataFrame, evidence: DataFrame, confidence: float = 0.85) -> DataFrame:
+    """(question_id, code) of questions against the sections that they were written from.
+
+    questions: question_id, domain, category, authoring_source_ids. A question can resolve its authoring sources (those that exist
+    and are of its domain), what stands around them (headings, parents, tables of their documents) and what they relate to with
+    enough confidence. evidence (question_id, source_id) has to be among these, and to be of the kind that the category
+    asks for. Questions of insufficient evidence need no sources and are not checked. Null ids in lists are ignored.
+
+    Tables are looked up from the evidence, so no section is paired with all tables of its document.
+    """
+    ids = F.array_distinct(F.array_compact(F.coalesce("authoring_source_ids", F.array().cast("array<string>"))))
+    checked = questions.where(F.coalesce(F.col("category") != "evidence_insufficient", F.lit(True))).select("question_id", "domain", "category", ids.alias("ids"))
+    named = sections.select("source_id", F.col("domain").alias("_d"), "document_id", "section_number", (F.coalesce(F.trim("heading"), F.lit("")) != "").alias("headed"))
+    rows = checked.select("question_id", "domain", F.explode("ids").alias("source_id")).join(named.withColumn("found", F.lit(True)), "source_id", "left")
+    fits = F.coalesce(F.col("_d") == F.col("domain"), F.lit(False))
+    anchors = rows.where(F.col("found") & fits).select("question_id", "source_id", "document_id", "section_number", "headed")
+    numbered = sections.where("document_id is not null and section_number is not null").groupBy("document_id", F.col("section_number").alias("number")).agg(F.min("source_id").alias("id"))
+    parent = F.nullif(F.regexp_replace("section_number", r"\.?[0-9]+$", ""), F.lit(""))
+    parents = anchors.select("question_id", "source_id", "document_id", parent.alias("number")).join(numbered, ["document_id", "number"]).where("id <> source_id")
+    around = [anchors.select("question_id", F.col("source_id").alias("id"), F.lit("anchor").alias("k")), anchors.where("headed").select("question_id", F.col("source_id").alias("id"), F.lit("context").alias("k")), parents.select("question_id", "id", F.lit("context").alias("k"))]
+    around.append(anchors.join(edges.where(F.col("confidence") >= confidence).select("source_id", "target_id"), "source_id").select("question_id", F.col("target_id").alias("id"), F.lit("graph").alias("k")))
+    used = evidence.where("question_id is not null").select("question_id", F.col("source_id").alias("id")).distinct()
+    notes = sections.where("source_type = 'table_note' and document_id is not null").select(F.col("source_id").alias("id"), "document_id")
+    around.append(used.join(notes, "id").join(anchors.select("question_id", "source_id", "document_id"), ["question_id", "document_id"]).where("source_id <> id").select("question_id", "id", F.lit("table").alias("k")))
+    near = reduce(DataFrame.unionByName, around).distinct()
+    of = lambda k: F.coalesce(F.bool_or(F.col("k") == k), F.lit(False)).alias(k)
+    hits = used.join(near, ["question_id", "id"], "left").groupBy("question_id", "id").agg(F.count("k").alias("kinds"), *[of(k) for k in ("anchor", "context", "graph", "table")])
+    sums = hits.groupBy("question_id").agg(F.bool_or(F.col("kinds") == 0).alias("missing"), F.bool_and("anchor").alias("direct"), *[F.bool_or(k).alias(k) for k in ("context", "graph", "table")])
+    per = rows.groupBy("question_id").agg(F.bool_or(F.col("found").isNull()).alias("lost"), F.bool_or(F.col("found") & ~fits).alias("crossed"))
+    both = checked.join(per, "question_id", "left").join(sums, "question_id", "left")
+    some, no = F.size("ids") > 0, lambda c: ~F.coalesce(F.col(c), F.lit(False))
+    codes = F.array_compact(F.array(
+        F.when(~some, F.lit("E_AUTHORING_SOURCE_MISSING")), F.when(F.col("lost"), F.lit("E_AUTHORING_SOURCE_UNRESOLVED")), F.when(F.col("crossed"), F.lit("E_AUTHORING_SOURCE_DOMAIN")),
+        F.when(some & F.col("missing"), F.lit("E_EVIDENCE_SOURCE_UNRESOLVED")), F.when(some & (F.col("category") == "direct_clause") & ~F.coalesce("direct", F.lit(True)), F.lit("E_DIRECT_STRUCTURE")),
+        F.when(some & (F.col("category") == "parent_heading_context") & no("context"), F.lit("E_CONTEXT_STRUCTURE")), F.when(some & (F.col("category") == "table_related") & no("table"), F.lit("E_TABLE_STRUCTURE")),
+        F.when(some & (F.col("category") == "citation_dependency") & no("graph"), F.lit("E_GRAPH_STRUCTURE")),
+    ))
+    return both.select("question_id", F.explode(codes).alias("code"))
+
+
 def quota_counts(records: DataFrame, quotas: DataFrame, keys: list[str]) -> DataFrame:
     """keys, expected, actual: cells of the quotas with their counts, empty ones included, and cells that no quota names."""
     counts = records.groupBy(*keys).agg(F.count(F.lit(1)).alias("actual"))

@@ -205,6 +205,7 @@ def pooled_oof(features: DataFrame, results: DataFrame, rotated: DataFrame, cost
     question_id, outer_test_fold, part.
     """
     numbers, texts = _numbers(features), list(TEXT)
+    results, costs = materialize(results.select("question_id", "path_id", "combined_path_success")), materialize(costs)
     labelled = results.select("question_id", "path_id", F.col("combined_path_success").alias("_y"))
     rows = materialize(features.join(labelled, ["question_id", "path_id"]).join(rotated.withColumnRenamed("part", "_part"), "question_id"))
     models = fit_by(rows.where("_part <> 'test'"), "outer_test_fold", numbers, texts, kind)
@@ -221,6 +222,7 @@ def transfer(features: DataFrame, results: DataFrame, assigned: DataFrame, costs
     if source == target:
         raise ValueError("source and target must differ")
     numbers, texts = _numbers(features), ["path_id"]
+    results, costs = materialize(results.select("question_id", "path_id", "combined_path_success")), materialize(costs)
     labelled = results.select("question_id", "path_id", F.col("combined_path_success").alias("_y"))
     rows = materialize(features.join(labelled, ["question_id", "path_id"]).join(assigned.select("question_id", "fold"), "question_id"))
     mine = rows.where(F.col("domain") == source)

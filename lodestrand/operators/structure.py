@@ -56,11 +56,11 @@ def edge_metadata(seeds: DataFrame, edges: DataFrame, minimum: float = CONFIDENC
     )
 
 
-def context_items(seeds: DataFrame, sections: DataFrame) -> DataFrame:
+def context_items(seeds: DataFrame, sections: DataFrame, most_notes: int | None = None) -> DataFrame:
     """(seed_source_id, context_type, kind, context_id, source_id): heading, parent and tables around each seed section.
 
-    The parent is the first section of the document with the parent number; tables are the first table notes of the
-    document (the seed itself apart), never more than can be attached.
+    The parent is the first section of the document with the parent number; tables are the table notes of the document (the seed
+    itself apart). most_notes: only so many first notes of a document, for callers that attach fewer than that to a seed anyway.
     """
     here = sections.join(seeds.select("source_id").distinct(), "source_id", "left_semi")
     headings = here.where("trim(heading) <> ''").select(
@@ -70,9 +70,10 @@ def context_items(seeds: DataFrame, sections: DataFrame) -> DataFrame:
     parents = here.select("source_id", "document_id", parent_number("section_number").alias("number")).join(holders, ["document_id", "number"]).where("holder <> source_id").select(
         F.col("source_id").alias("seed_source_id"), F.lit("immediate_parent").alias("context_type"), F.lit(1).alias("kind"), F.concat("source_id", F.lit(":parent")).alias("context_id"), F.col("holder").alias("source_id")
     )
-    place = F.row_number().over(Window.partitionBy("document_id").orderBy("source_id"))
-    notes = sections.where("source_type = 'table_note' and document_id is not null").select("document_id", "source_id").withColumn("place", place)
-    notes = notes.where(F.col("place") <= SIDECARS + 1).select("document_id", F.col("source_id").alias("note"))
+    notes = sections.where("source_type = 'table_note' and document_id is not null").select("document_id", F.col("source_id").alias("note"))
+    if most_notes is not None:
+        place = F.row_number().over(Window.partitionBy("document_id").orderBy("note"))
+        notes = notes.withColumn("place", place).where(F.col("place") <= most_notes).drop("place")
     tables = here.select("source_id", "document_id").join(notes, "document_id").where("note <> source_id").select(
         F.col("source_id").alias("seed_source_id"), F.lit("table").alias("context_type"), F.lit(2).alias("kind"), F.concat("source_id", F.lit(":table:"), "note").alias("context_id"), F.col("note").alias("source_id")
     )

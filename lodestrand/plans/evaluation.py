@@ -15,7 +15,7 @@ LABELS = tables.LABELS
 
 
 def _specs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = tables.questions(spark, sf_dir)
+    q = tables.questions(spark, sf_dir, "domain", "category", "authoring_source_ids")
     return q.select("question_id", "domain", "category", F.array_distinct(F.coalesce("authoring_source_ids", F.array().cast("array<string>"))).alias("required"),
                     F.coalesce(F.col("category") == "evidence_insufficient", F.lit(False)).alias("insufficient"))
 
@@ -37,7 +37,7 @@ def _costs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The smoothed success rate of the stratum and path over questions of other folds."""
     keyed = _outcomes(spark, sf_dir).select("question_id", "path_id", "combined_path_success", F.coalesce("domain", F.lit("")).alias("d"), F.coalesce("category", F.lit("")).alias("c"))
-    rows = keyed.join(folds.assign(tables.questions(spark, sf_dir)).select("question_id", "fold"), "question_id")
+    rows = keyed.join(folds.assign(tables.questions(spark, sf_dir, "source_group_id")).select("question_id", "fold"), "question_id")
     by_fold = rows.groupBy("d", "c", "path_id", "fold").agg(F.count(F.lit(1)).alias("n"), F.count_if("combined_path_success").alias("s"))
     stratum = Window.partitionBy("d", "c", "path_id")  # five rows each
     rest = lambda x: F.sum(x).over(stratum) - F.col(x)
@@ -55,8 +55,8 @@ def path_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def outcome_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Outcomes by path, over all domains and by domain."""
-    return outcomes.outcome_summary(_outcomes(spark, sf_dir).where("domain is not null"))
+    """Outcomes by path, over all questions and by domain (null where a question has none)."""
+    return outcomes.outcome_summary(_outcomes(spark, sf_dir))
 
 
 def stratum_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,21 +81,21 @@ def oracle_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def constant_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The two fixed policies."""
-    return outcomes.constant_policies(tables.questions(spark, sf_dir))
+    return outcomes.constant_policies(tables.questions(spark, sf_dir, "domain"))
 
 
 def heuristic_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The path that cue words and score gaps choose."""
-    return outcomes.heuristic_policy(tables.questions(spark, sf_dir), _scores(spark, sf_dir))
+    return outcomes.heuristic_policy(tables.questions(spark, sf_dir, "query_text"), _scores(spark, sf_dir))
 
 
 def route_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is known of each question and path before routing."""
-    sections = tables.sections(spark, sf_dir)
+    sections = tables.sections(spark, sf_dir, "document_id", "content", "section_number")
     stage = retrieval.first_stage(tables.candidates(spark, sf_dir), structure.SEEDS).select("question_id", "source_id")
     edges = structure.relation_edges(sections).where(F.col("confidence") >= structure.CONFIDENCE)
     meta = stage.join(edges, "source_id").groupBy("question_id").agg(F.count_distinct("source_id", "target_id").alias("eligible_outgoing_edge_count"), F.max("confidence").alias("max_edge_confidence"))
-    questions = tables.questions(spark, sf_dir).select("question_id", "domain", "query_text")
+    questions = tables.questions(spark, sf_dir, "domain", "query_text")
     return outcomes.route_features(questions, _scores(spark, sf_dir), meta, _costs(spark, sf_dir))
 
 
@@ -178,12 +178,12 @@ def signals_1_2_3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fold_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fold of each question by the hash of its source group."""
-    return folds.assign(tables.questions(spark, sf_dir))
+    return folds.assign(tables.questions(spark, sf_dir, "source_group_id"))
 
 
 def fold_rotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Questions and source groups of each part of each rotation."""
-    assigned = folds.assign(tables.questions(spark, sf_dir))
+    assigned = folds.assign(tables.questions(spark, sf_dir, "source_group_id"))
     return folds.partition_summary(folds.rotations(assigned), assigned)
 
 
@@ -194,11 +194,11 @@ def partition_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three questions of each stratum for duplicate review."""
-    return folds.stratified_sample(tables.questions(spark, sf_dir), 3)
+    return folds.stratified_sample(tables.questions(spark, sf_dir, "domain", "category"), 3)
 
 
 def _oof(kind: str, spark: SparkSession, sf_dir: str) -> DataFrame:
-    assigned = folds.assign(tables.questions(spark, sf_dir))
+    assigned = folds.assign(tables.questions(spark, sf_dir, "source_group_id"))
     return routing.pooled_oof(route_features(spark, sf_dir), _outcomes(spark, sf_dir), folds.rotations(assigned), _costs(spark, sf_dir), kind)
 
 
@@ -214,7 +214,7 @@ def router_oof_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def transfer_lr(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Decisions on pharmaceutical questions by a logistic router fitted on chemical ones."""
-    assigned = folds.assign(tables.questions(spark, sf_dir))
+    assigned = folds.assign(tables.questions(spark, sf_dir, "source_group_id"))
     return routing.transfer(route_features(spark, sf_dir), _outcomes(spark, sf_dir), assigned, _costs(spark, sf_dir), "chemical", "pharmaceutical", "logistic")
 
 

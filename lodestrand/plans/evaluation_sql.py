@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from lodestrand.operators.outcomes import BUDGETS, CITATION_CUES, STAGES, TABLE_CUES
 from lodestrand.plans.sql import CANDS, EDGES, QS, fold, slug
 from lodestrand.sources.tables import LABELS, PATHS
@@ -73,7 +75,14 @@ pairs as (select * from paired where primary_label is not null and duplicate_lab
 _STAGE = "stage as (select question_id, source_id, score, cast(row_number() over (partition by question_id order by rank nulls last, score desc nulls last, source_id) as int) as bm25_rank from cands qualify bm25_rank <= 50)"
 SCORES = f"""{CANDS}, {_STAGE},
 scores as (select question_id, list_reverse_sort(list(score)) as s from stage where bm25_rank <= 10 and score is not null group by 1)"""
-_NORMAL = fold("trim(regexp_replace(query_text, '\\s+', ' ', 'g'), ' ')")
+# Characters whose compatibility form differs, with that form: made from the Unicode data, as DuckDB has no such function.
+_FORMS = ", ".join(f"({i}, '{f}')" for i, f in ((i, unicodedata.normalize("NFKC", chr(i)).replace("'", "''")) for i in range(128, 0x1F000) if not 0xAC00 <= i < 0xE000) if f != chr(i))
+PLAIN = f"""forms(c, f) as (values {_FORMS}),
+spelled as (select question_id, nfc_normalize(string_agg(coalesce(f, chr(cast(k as int))), '' order by i)) as t
+  from (select question_id, unicode(x) as k, i from (select question_id, unnest(string_split(query_text, '')) as x, generate_subscripts(string_split(query_text, ''), 1) as i from qs where query_text <> ''))
+  left join forms on c = k group by question_id),
+plain as (select question_id, {fold("trim(regexp_replace(t, '\\s+', ' ', 'g'), ' ')")} as n from spelled)"""
+_NORMAL = "n"
 
 
 def _has(cues: list[str]) -> str:
@@ -84,15 +93,15 @@ def _gap(k: int) -> str:
     return f"coalesce((s[1] - s[{k + 1}]) / greatest(abs(s[1]), 1e-9), 0.0)"
 
 
-FEATURES = f"""
+FEATURES = f"""{PLAIN},
 shared as (select q.question_id, q.domain, cast(coalesce(length({_NORMAL}), 0) as int) as query_length, round(s[1], 6) as bm25_top_score, round({_gap(1)}, 6) as bm25_gap_1_2, round({_gap(4)}, 6) as bm25_gap_1_5,
-  {_gap(1)} as g, {_has(TABLE_CUES)} as t, {_has(CITATION_CUES)} as c, s from qs q join scores using (question_id) where len(s) > 1)"""
+  {_gap(1)} as g, {_has(TABLE_CUES)} as t, {_has(CITATION_CUES)} as c, s from qs q join scores using (question_id) left join plain using (question_id) where len(s) > 1)"""
 _MCNEMAR = """case when n = 0 or 2 * k = n then 1.0 else least(1.0, 2 * list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2.0))))) end"""
 
 SQL = {
     "path_outcomes": f"with {OUTCOMES} select * from outcomes",
     "outcome_summary": f"""with {OUTCOMES} select coalesce(case when grouping(domain) = 1 then 'all' end, domain) as domain, path_id, {_RATES}, round(avg(context_items_attached), 9) as mean_context_items_attached
-      from outcomes where domain is not null group by grouping sets ((path_id), (domain, path_id))""",
+      from outcomes group by grouping sets ((path_id), (domain, path_id))""",
     "stratum_summary": f"with {OUTCOMES} select domain, category, path_id, {_RATES} from outcomes group by all",
     "stage_rescues": f"""with {OUTCOMES}, {STEPS} select domain, category, module, "before", "after", count(*) as questions, count(*) filter (not x and y) as rescued, count(*) filter (x and not y) as lost
       from steps join (select distinct question_id, domain, category from outcomes) using (question_id) group by all""",

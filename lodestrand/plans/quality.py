@@ -62,18 +62,27 @@ def dataset_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
 def category_quotas(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Questions of each cell against the rows that the targets want."""
     goals = table(spark, sf_dir, "sample_targets").select("domain", F.col("construction_category").alias("category"), F.col("target_rows").cast("bigint").alias("expected"))
-    known = tables.questions(spark, sf_dir).where("domain is not null and category is not null")
+    known = tables.questions(spark, sf_dir, "domain", "category").where("domain is not null and category is not null")
     return quality.quota_counts(known, goals, ["domain", "category"])
 
 
 def annotation_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Annotated questions and annotated evidence that the tables lack."""
     labels = tables.annotations(spark, sf_dir)
-    q = labels.select("question_id").distinct().join(tables.questions(spark, sf_dir), "question_id", "left_anti").select(F.col("question_id").alias("record_id"), F.lit("E_QUESTION_UNKNOWN").alias("code"))
-    s = labels.select(F.col("evidence_id").alias("source_id")).distinct().join(tables.sections(spark, sf_dir), "source_id", "left_anti").select(F.col("source_id").alias("record_id"), F.lit("E_EVIDENCE_UNKNOWN").alias("code"))
+    q = labels.select("question_id").distinct().join(tables.questions(spark, sf_dir, "domain"), "question_id", "left_anti").select(F.col("question_id").alias("record_id"), F.lit("E_QUESTION_UNKNOWN").alias("code"))
+    s = labels.select(F.col("evidence_id").alias("source_id")).distinct().join(tables.sections(spark, sf_dir, "domain"), "source_id", "left_anti").select(F.col("source_id").alias("record_id"), F.lit("E_EVIDENCE_UNKNOWN").alias("code"))
     return q.unionByName(s)
 
 
+def authoring_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions whose authoring sources can't be resolved, are of another domain, or lack the structure that their category needs."""
+    q = tables.questions(spark, sf_dir, "domain", "category", "query_text", "authoring_source_ids")
+    s = tables.sections(spark, sf_dir, "domain", "document_id", "heading", "content", "source_type", "section_number")
+    cited = tables.final_labels(spark, sf_dir).where(F.col("label").isin("REQUIRED", "SUFFICIENT"))
+    evidence = cited.select("question_id", F.regexp_extract("evidence_id", "^([^:]*)", 1).alias("source_id"))
+    return quality.authoring_issues(q, s, structure.relation_edges(s), evidence)
+
+
 def label_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each path: ranked evidence with and without a label, and labels without ranked evidence."""
     inputs = Inputs(spark, sf_dir, kept=True)
@@ -85,29 +94,29 @@ def label_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def blinded_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows that annotators would see, and the key to their paths."""
-    return annotation.blinded_rows(tables.final_labels(spark, sf_dir), tables.questions(spark, sf_dir))
+    return annotation.blinded_rows(tables.final_labels(spark, sf_dir), tables.questions(spark, sf_dir, "domain"))
 
 
 def candidate_structures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The structures selected for each category."""
-    sections = tables.sections(spark, sf_dir)
-    found = annotation.candidate_structures(sections, structure.context_items(sections, sections), structure.relation_edges(sections))
+    sections = tables.sections(spark, sf_dir, "domain", "document_id", "heading", "content", "source_type", "section_number")
+    found = annotation.candidate_structures(sections, structure.context_items(sections, sections, structure.SIDECARS + 1), structure.relation_edges(sections))
     return annotation.select_structures(found)
 
 
 def scope_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sections whose heading names a term of the scope."""
-    return annotation.scope_candidates(tables.sections(spark, sf_dir), "source_id", "heading", TERMS)
+    return annotation.scope_candidates(tables.sections(spark, sf_dir, "heading"), "source_id", "heading", TERMS)
 
 
 def prior_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The noted similarities of pairs of questions against those of their texts."""
-    return annotation.recheck_flags(table(spark, sf_dir, "prior_question_flags"), tables.questions(spark, sf_dir))
+    return annotation.recheck_flags(table(spark, sf_dir, "prior_question_flags"), tables.questions(spark, sf_dir, "query_text"))
 
 
 def fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The identity of the corpus: sections and edges."""
-    sections = tables.sections(spark, sf_dir)
+    sections = tables.sections(spark, sf_dir, "domain", "document_id", "heading", "content", "section_number")
     parts = {"sections": (sections, ["source_id", "domain", "document_id", "heading", "content"]), "edges": (structure.relation_edges(sections), ["source_id", "target_id", "relation"])}
     return quality.fingerprints(parts)
 
@@ -121,13 +130,13 @@ def rotation_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def privacy_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with machine-local paths, credential-like assignments or too much text."""
-    return quality.privacy_findings(table(spark, sf_dir, "documents"), "doc_id", "text", max_bytes=10_000)
+    return quality.privacy_findings(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
 QUERIES = {
     f.__name__: f
     for f in (
-        contract_violations, redelivered, redelivery_changes, dataset_issues, category_quotas, annotation_questions, label_coverage, blinded_payload, candidate_structures, scope_candidates, prior_flags,
+        contract_violations, redelivered, redelivery_changes, dataset_issues, category_quotas, annotation_questions, authoring_issues, label_coverage, blinded_payload, candidate_structures, scope_candidates, prior_flags,
         fingerprint, rotation_chain, privacy_scan,
     )
 }
@@ -163,6 +172,26 @@ SQL = {
       from sample_targets t full join a on t.domain = a.domain and construction_category = category""",
     "annotation_questions": f"""with {ANN} select distinct question_id as record_id, 'E_QUESTION_UNKNOWN' as code from anno anti join queries using (question_id)
       union all select distinct evidence_id, 'E_EVIDENCE_UNKNOWN' from anno where evidence_id not in (select source_id from source_sections where source_id is not null)""",
+    "authoring_issues": f"""with {sql.EDGES}, {OUTCOMES},
+      a as (select question_id, domain, category, query_text, len(ids) as n, unnest(case when len(ids) > 0 then ids else [null] end) as source_id
+            from (select *, list_distinct(list_filter(coalesce(authoring_source_ids, []), lambda x: x is not null)) as ids from qs)),
+      r as (select a.*, s.source_id is not null as found, coalesce(s.domain = a.domain, false) as fits, s.document_id, s.section_number, trim(coalesce(s.heading, ''), ' ') <> '' as headed from a left join secs s using (source_id)),
+      anchors as (select * from r where n > 0 and found and fits and coalesce(category <> 'evidence_insufficient', true)),
+      parents as (select question_id, holder as id from (select question_id, source_id, document_id, {sql.PARENT.format('section_number')} as section_number from anchors) join numbered using (document_id, section_number) where holder <> source_id),
+      near_ as (select question_id, source_id as id, 'anchor' as k from anchors union all select question_id, source_id, 'context' from anchors where headed union all select question_id, id, 'context' from parents
+        union all select question_id, target_id, 'graph' from anchors join edges using (source_id) where confidence >= 0.85),
+      ev as (select distinct question_id, regexp_extract(evidence_id, '^([^:]*)', 1) as id from labels where label in ('REQUIRED', 'SUFFICIENT')),
+      tab as (select distinct question_id, e.id from ev e join anchors a using (question_id) join secs n on n.source_id = e.id where n.source_type = 'table_note' and n.document_id = a.document_id and n.source_id <> a.source_id),
+      hit as (select question_id, e.id, bool_or(k = 'anchor') as anchor, bool_or(k = 'context') as context, bool_or(k = 'graph') as graph, bool_or(k = 'table') as tabled
+        from ev e left join (select * from near_ union all select question_id, id, 'table' from tab) x using (question_id, id) group by all),
+      sums as (select question_id, bool_or(coalesce(anchor or context or graph or tabled, false) = false) as missing, bool_and(coalesce(anchor, false)) as direct, bool_or(coalesce(context, false)) as context,
+        bool_or(coalesce(graph, false)) as graph, bool_or(coalesce(tabled, false)) as tabled from hit group by 1),
+      per as (select question_id, any_value(category) as category, any_value(n) as n, bool_or(n > 0 and not found) as lost, bool_or(found and not fits) as crossed, any_value(sums.missing) as missing, any_value(coalesce(direct, true)) as direct,
+        any_value(coalesce(context, false)) as context, any_value(coalesce(graph, false)) as graph, any_value(coalesce(tabled, false)) as tabled from r left join sums using (question_id) where coalesce(category <> 'evidence_insufficient', true) group by 1)
+      select question_id, unnest(list_filter([case when n = 0 then 'E_AUTHORING_SOURCE_MISSING' end, case when lost then 'E_AUTHORING_SOURCE_UNRESOLVED' end, case when crossed then 'E_AUTHORING_SOURCE_DOMAIN' end,
+        case when n > 0 and coalesce(missing, false) then 'E_EVIDENCE_SOURCE_UNRESOLVED' end, case when n > 0 and category = 'direct_clause' and not direct then 'E_DIRECT_STRUCTURE' end,
+        case when n > 0 and category = 'parent_heading_context' and not context then 'E_CONTEXT_STRUCTURE' end, case when n > 0 and category = 'table_related' and not tabled then 'E_TABLE_STRUCTURE' end,
+        case when n > 0 and category = 'citation_dependency' and not graph then 'E_GRAPH_STRUCTURE' end], lambda x: x is not null)) as code from per""",
     "label_coverage": f"""with {sql.PATHS}, {OUTCOMES}, units as ({" union all ".join(f"select question_id, '{p}' as path_id, source_id as evidence_id from {sql._units(m)}" for p, m in structure.MODULES.items())}),
       l as (select question_id, path_id, evidence_id, 1 as l from labels where evidence_kind = 'ranked')
       select path_id, count(*) filter (u = 1 and l = 1) as labelled, count(*) filter (l is null) as unlabelled, count(*) filter (u is null) as unused_labels from (select *, 1 as u from units) full join l using (question_id, path_id, evidence_id) group by 1""",
@@ -195,5 +224,5 @@ SQL = {
         case when regexp_matches(text, '(?i:\b[A-Z]:\\(?:Users|Projects)\\)|(?:^|[^A-Za-z0-9_])/(?:home|Users)/[^/\s]+/') then 'absolute-path' end,
         case when len(list_filter(list_zip(k, v), lambda p: not (lower(p[1]) like '%tokens' or p[1] like '\_%' escape '\' or lower(p[1]) like '%\_env' escape '\' or lower(p[1]) in ('false_token', 'maximum_input_tokens', 'tokenizer_revision', 'true_token')
              or regexp_matches(p[2], '^[A-Z][A-Z0-9_]*(?:PASSWORD|API_KEY|SECRET|TOKEN)[A-Z0-9_]*$') or p[2] like '$%' or lower(p[2]) in ('', 'changeme', 'change-me', 'example', 'none', 'null', 'placeholder', 'redacted')))) > 0 then 'possible-secret' end,
-        case when strlen(text) > 10000 then 'oversize-file' end], lambda x: x is not null)) as rule from m""",
+        case when strlen(text) > 1048576 then 'oversize-file' end], lambda x: x is not null)) as rule from m""",
 }

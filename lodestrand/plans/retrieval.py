@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,11 +15,11 @@ from lodestrand.sources import tables
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.sections(spark, sf_dir).where("domain is not null").select("domain", "source_id", text.search_tokens(text.index_text("heading", "content")).alias("terms"))
+    return tables.sections(spark, sf_dir, "domain", "heading", "content").where("domain is not null").select("domain", "source_id", text.search_tokens(text.index_text("heading", "content")).alias("terms"))
 
 
 def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.questions(spark, sf_dir).where("domain is not null").select("domain", "question_id", text.search_tokens("query_text").alias("terms"))
+    return tables.questions(spark, sf_dir, "domain", "query_text").where("domain is not null").select("domain", "question_id", text.search_tokens("query_text").alias("terms"))
 
 
 def tokenize_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,7 +34,7 @@ def bm25_top50(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bm25_manual_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Manual search: the hundred best sections for the cleaned phrase of each question, counted by question."""
-    phrase = tables.questions(spark, sf_dir).where("domain is not null").select("domain", "question_id", text.search_tokens(text.search_phrase("query_text")).alias("terms"))
+    phrase = tables.questions(spark, sf_dir, "domain", "query_text").where("domain is not null").select("domain", "question_id", text.search_tokens(text.search_phrase("query_text")).alias("terms"))
     found = retrieval.bm25_top_blocked(phrase, _docs(spark, sf_dir), "domain", "question_id", "source_id", "terms", 100)
     return found.groupBy("question_id").agg(F.count(F.lit(1)).alias("found"), F.max("score").alias("best_score"))
 
@@ -52,7 +54,7 @@ class Inputs:
     def __init__(self, spark: SparkSession, sf_dir: str, kept: bool = False):
         keep = materialize if kept else (lambda df: df)
         self.stage = keep(retrieval.first_stage(tables.candidates(spark, sf_dir)))
-        self.sections = keep(tables.sections(spark, sf_dir))
+        self.sections = keep(tables.sections(spark, sf_dir, "document_id", "heading", "content", "source_type", "section_number"))
         self.edges = keep(structure.relation_edges(self.sections))
         self.bases = {0: keep(retrieval.direct(self.stage)), 1: keep(retrieval.rerank(self.stage))}
         self.items: dict[int, DataFrame] = {}
@@ -62,7 +64,7 @@ class Inputs:
         """The context items of the seeds of either base."""
         if reranked not in self.items:
             seeds = self.bases[reranked].where(F.col("rank") <= structure.SEEDS)
-            self.items[reranked] = self.keep(structure.context_items(seeds, self.sections))
+            self.items[reranked] = self.keep(structure.context_items(seeds, self.sections, structure.SIDECARS + 1))
         return self.items[reranked]
 
 
@@ -109,14 +111,15 @@ def path_run_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The status of the six paths of every question."""
     inputs = Inputs(spark, sf_dir)
     runs = path_units("P0", inputs).select("question_id", F.explode(F.array(*[F.lit(p) for p in structure.MODULES])).alias("path_id"), F.lit("complete").alias("status")).distinct()
-    return structure.complete_runs(tables.questions(spark, sf_dir), runs)
+    return structure.complete_runs(tables.questions(spark, sf_dir, "domain"), runs)
 
 
 def path_run_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Broken contracts of the runs over the best occurrence of each source, with the ranks they came with, as its SQL has it."""
-    raw = tables.candidates(spark, sf_dir).where("rank between 1 and 10").select("question_id", F.lit("P0").alias("path_id"), "rank", "source_id", F.lit("direct").alias("origin"))
-    cars = path_sidecars("P2", Inputs(spark, sf_dir)).withColumn("path_id", F.lit("P0"))
-    return structure.run_issues(raw, cars)
+    """Broken contracts of the six runs of every question."""
+    inputs = Inputs(spark, sf_dir, kept=True)
+    units = reduce(DataFrame.unionByName, [path_units(p, inputs).withColumn("path_id", F.lit(p)) for p in structure.MODULES])
+    cars = reduce(DataFrame.unionByName, [path_sidecars(p, inputs).withColumn("path_id", F.lit(p)) for p, m in structure.MODULES.items() if m[1]])
+    return structure.run_issues(units, cars)
 
 
 def first_stage_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,32 +131,32 @@ def first_stage_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
 def path_run_delivered_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Broken contracts of the runs as delivered: every candidate_id once, sources that a question names twice included."""
     raw = tables.delivered_candidates(spark, sf_dir).where("rank between 1 and 10").select("question_id", F.lit("P0").alias("path_id"), "rank", "source_id", F.lit("direct").alias("origin"))
-    cars = path_sidecars("P2", Inputs(spark, sf_dir)).withColumn("path_id", F.lit("P0"))
-    return structure.run_issues(raw, cars)
+    none = raw.where("false").select("question_id", "path_id", F.col("source_id").alias("sidecar_id"))
+    return structure.run_issues(raw, none)
 
 
 def first_stage_delivered_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Questions whose candidates as delivered break the first stage's contract: depth, ranks, sources named twice, other domains."""
     raw = tables.delivered_candidates(spark, sf_dir).where("rank is not null").select("question_id", "source_id", "domain", F.col("rank").alias("bm25_rank"))
-    crossed = retrieval.domain_issues(raw, tables.sections(spark, sf_dir), tables.questions(spark, sf_dir))
+    crossed = retrieval.domain_issues(raw, tables.sections(spark, sf_dir, "domain"), tables.questions(spark, sf_dir, "domain"))
     return retrieval.first_stage_issues(raw).unionByName(crossed)
 
 
 def edge_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The relation edges that sections state."""
-    return structure.relation_edges(tables.sections(spark, sf_dir))
+    return structure.relation_edges(tables.sections(spark, sf_dir, "document_id", "content", "section_number"))
 
 
 def graph_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is known about the edges of each section before expansion."""
-    sections = tables.sections(spark, sf_dir)
+    sections = tables.sections(spark, sf_dir, "document_id", "content", "section_number")
     meta = structure.edge_metadata(sections, structure.relation_edges(sections))
     return meta.withColumn("relation_types", F.array_join("relation_types", "|"))
 
 
 def context_sidecars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The context items of every section."""
-    sections = tables.sections(spark, sf_dir)
+    sections = tables.sections(spark, sf_dir, "document_id", "heading", "source_type", "section_number")
     return structure.context_items(sections, sections)
 
 
@@ -175,11 +178,14 @@ SQL = {
       select question_id, unnest(['P0', 'P1', 'P2', 'P3', 'P4', 'P5']) as path_id, case when s = 1 then 'complete' else 'execution_error' end as status, case when s is null then 'E_FIRST_STAGE' end as error_code
       from qs left join s using (question_id)""",
     "path_run_issues": f"""with {sql.PATHS},
-      sums as (select question_id, count(*) n, max(rank) top, count(distinct rank) ranks, count(distinct source_id) ids from cands where rank between 1 and 10 group by 1),
-      side as (select question_id, count(*) m from cars_p0 group by 1)
-      select question_id, 'P0' as path_id, unnest(list_filter([case when top <> n or ranks <> n then 'E_RANK_SEQUENCE' end, case when ids <> n then 'E_EVIDENCE_ID_DUPLICATE' end,
-             case when m > 0 then 'E_PATH_CONTEXT_FORBIDDEN' end], lambda x: x is not null)) as code
-      from sums left join side using (question_id)""",
+      units as ({" union all ".join(f"select question_id, '{p}' as path_id, rank, source_id, origin from {sql._units(m)}" for p, m in structure.MODULES.items())}),
+      cars as ({" union all ".join(f"select question_id, '{p}' as path_id, context_id from cars_p{m[0]}" for p, m in structure.MODULES.items() if m[1])}),
+      sums as (select question_id, path_id, count(*) n, max(rank) top, count(distinct rank) ranks, count(source_id) named, count(distinct source_id) ids, count(*) filter (origin = 'graph') g from units group by all),
+      side as (select question_id, path_id, count(*) m, count(distinct context_id) s from cars group by all)
+      select question_id, path_id, unnest(list_filter([case when top <> n or ranks <> n then 'E_RANK_SEQUENCE' end, case when ids <> named then 'E_EVIDENCE_ID_DUPLICATE' end,
+             case when m <> s then 'E_SIDECAR_ID_DUPLICATE' end, case when m > 0 and path_id in ({", ".join(f"'{p}'" for p, m in structure.MODULES.items() if not m[1])}) then 'E_PATH_CONTEXT_FORBIDDEN' end,
+             case when g > 0 and path_id in ({", ".join(f"'{p}'" for p, m in structure.MODULES.items() if not m[2])}) then 'E_PATH_GRAPH_FORBIDDEN' end], lambda x: x is not null)) as code
+      from sums left join side using (question_id, path_id)""",
     "first_stage_issues": f"""with {sql.CANDS},
       sums as (select question_id, count(*) n, max(rank) top, min(rank) low, count(distinct rank) ranks, count(distinct source_id) ids from cands where rank is not null group by 1)
       select question_id, unnest(list_filter([case when n > 50 then 'E_DEPTH' end, case when low <> 1 or top <> n or ranks <> n then 'E_RANK_SEQUENCE' end,

@@ -85,7 +85,9 @@ items as (
   join numbered using (document_id, section_number) where holder <> s.source_id
   union all
   select s.source_id, 'table', 2, s.source_id || ':table:' || note, note from secs s join notes using (document_id) where note <> s.source_id)"""
-ITEMS = f"{SECS}, {NUMBERED}, {_ITEMS}"
+_FIRST_NOTES = """
+          qualify row_number() over (partition by document_id order by source_id) <= 4"""
+ITEMS = f"{SECS}, {NUMBERED}, {_ITEMS.replace(_FIRST_NOTES, '')}"
 PATHS = f"""{CANDS}, {EDGES}, {_ITEMS},
 stage as (select question_id, source_id, reranker_score, cast(row_number() over (partition by question_id order by rank nulls last, score desc nulls last, source_id) as int) as bm25_rank
           from cands qualify bm25_rank <= 50),

@@ -19,22 +19,30 @@ def first_delivery(df: DataFrame, key: str, at: str = "ingested_at") -> DataFram
     return best.select(key, *[F.col(f"_r.{c}").alias(c) for c in rest])
 
 
-def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """question_id, domain, category, language, query_text, source_group_id, authoring_source_ids."""
-    once = first_delivery(table(spark, sf_dir, "queries"), "question_id")
-    return once.select(
-        "question_id", slug("domain").alias("domain"), slug("construction_category").alias("category"), F.lower(F.trim("language")).alias("language"),
-        "query_text", "source_group_id", "authoring_source_ids",
-    )
-
-
-def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """source_id, domain, document_id, heading, content, source_type, section_number (of the heading, or null)."""
-    once = first_delivery(table(spark, sf_dir, "source_sections"), "source_id")
-    return once.select(
-        "source_id", slug("domain").alias("domain"), "document_id", "heading", "content", "source_type", "runtime_locator",
-        F.nullif(F.regexp_extract("heading", r"^\s*([0-9]+(?:\.[0-9]+)*)", 1), F.lit("")).alias("section_number"),
-    )
+def _wanted(raw: DataFrame, key: str, parts: dict[str, tuple[str, Column]], names: tuple[str, ...]) -> DataFrame:
+    """The first delivery of each record, in the named columns (all, if none is named); only what they are made of is read and moved."""
+    chosen = names or tuple(parts)
+    sources = dict.fromkeys(parts[n][0] for n in chosen)
+    once = first_delivery(raw.select(key, *sources, "ingested_at"), key)
+    return once.select(key, *[parts[n][1].alias(n) for n in chosen])
+
+
+def questions(spark: SparkSession, sf_dir: str, *names: str) -> DataFrame:
+    """question_id and the named ones (or all) of domain, category, language, query_text, source_group_id, authoring_source_ids."""
+    parts = {
+        "domain": ("domain", slug("domain")), "category": ("construction_category", slug("construction_category")), "language": ("language", F.lower(F.trim("language"))),
+        **{c: (c, F.col(c)) for c in ("query_text", "source_group_id", "authoring_source_ids")},
+    }
+    return _wanted(table(spark, sf_dir, "queries"), "question_id", parts, names)
+
+
+def sections(spark: SparkSession, sf_dir: str, *names: str) -> DataFrame:
+    """source_id and the named ones (or all) of domain, document_id, heading, content, source_type, runtime_locator, section_number (of the heading, or null)."""
+    number = F.nullif(F.regexp_extract("heading", r"^\s*([0-9]+(?:\.[0-9]+)*)", 1), F.lit(""))
+    parts = {
+        "domain": ("domain", slug("domain")), **{c: (c, F.col(c)) for c in ("document_id", "heading", "content", "source_type", "runtime_locator")}, "section_number": ("heading", number),
+    }
+    return _wanted(table(spark, sf_dir, "source_sections"), "source_id", parts, names)
 
 
 def finite(name: str) -> Column:

@@ -47,7 +47,7 @@ def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
 
-JVM_ONLY = ("path_p0", "path_p1", "path_p2", "path_p3", "path_p4", "path_p5", "path_outcomes", "outcome_summary", "oracle_policy", "heuristic_policy", "threshold_table", "kappa", "fold_assignment", "contract_violations", "fingerprint", "blinded_payload")
+JVM_ONLY = ("path_p0", "path_p1", "path_p2", "path_p3", "path_p4", "path_p5", "path_outcomes", "outcome_summary", "oracle_policy", "threshold_table", "kappa", "fold_assignment", "contract_violations", "fingerprint", "blinded_payload")
 
 
 @pytest.mark.parametrize("name", JVM_ONLY)
