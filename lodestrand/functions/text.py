@@ -60,6 +60,16 @@ def slug(col: Column | str) -> Column:
     return F.regexp_replace(words, r"^_+|_+$", "")
 
 
+def half_even(col: Column | str, places: int) -> Column:
+    """A number rounded to so many places, halves to the even neighbour."""
+    return F.bround(col, places)
+
+
+def first_filled(*cols: Column | str) -> Column:
+    """The first value that isn't null or blank, trimmed."""
+    return F.coalesce(*[F.nullif(F.trim(c if isinstance(c, Column) else F.col(c)), F.lit("")) for c in cols])
+
+
 def search_phrase(col: Column | str) -> Column:
     """A query for a full-text index: its operators become blanks, blanks collapse; null if nothing is left."""
     plain = F.regexp_replace(col if isinstance(col, Column) else F.col(col), r'[+\-&|!(){}\[\]^"~*?:\\/]', " ")

@@ -32,6 +32,11 @@ def blinded_rows(evidence: DataFrame, questions: DataFrame, seed: int = SEED) ->
     return rows.select("row_code", "question_code", "evidence_kind", "evidence_id", "packages", joined_hash("row_code", "question_code", "evidence_kind", "evidence_id").alias("identity_sha256"), "occurrences")
 
 
+def blinded_export(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(what annotators see, the key to the paths) of blinded_rows, to be written to two places: only the key knows the occurrences."""
+    return rows.drop("occurrences"), rows.select("row_code", "identity_sha256", F.explode(F.split("occurrences", r"\|")).alias("path_id"))
+
+
 def candidate_structures(sections: DataFrame, items: DataFrame, edges: DataFrame) -> DataFrame:
     """What questions could be built on each section: itself, its parent or a table, or a section it relates to.
 

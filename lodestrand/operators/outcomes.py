@@ -75,9 +75,27 @@ def stage_rescues(outcomes: DataFrame) -> DataFrame:
     )
 
 
+MEDIAN_SLICES = 1_000
+
+
 def path_costs(runtimes: DataFrame) -> DataFrame:
-    """path_id, budgets and the exact median of runtime_ms: one row a path."""
-    medians = runtimes.where(F.col("path_id").isin(*BUDGETS)).groupBy("path_id").agg(F.median("runtime_ms").alias("median_runtime_ms"))
+    """path_id, budgets and the exact median of runtime_ms: one row a path.
+
+    Equal runtimes are counted first. The slice of values (by their place between least and most) that holds the middle is found from
+    the counts of MEDIAN_SLICES slices a path, and only within slices are values put in order. Null and non-finite runtimes don't count.
+    """
+    known = runtimes.where(F.col("path_id").isin(*BUDGETS) & F.col("runtime_ms").isNotNull() & ~F.isnan(F.col("runtime_ms").cast("double")) & (F.abs(F.col("runtime_ms").cast("double")) < float("inf")))
+    counts = known.groupBy("path_id", F.col("runtime_ms").cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    ends = counts.groupBy("path_id").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("n").alias("all"))  # one row a path
+    place = F.coalesce(F.least(F.lit(MEDIAN_SLICES - 1), F.floor(F.try_divide(F.col("v") - F.col("lo"), F.col("hi") - F.col("lo")) * MEDIAN_SLICES)), F.lit(0)).cast("int")
+    cut = counts.join(F.broadcast(ends), "path_id").withColumn("s", place)
+    slices = cut.groupBy("path_id", "s").agg(F.sum("n").alias("sn"))  # at most MEDIAN_SLICES rows a path
+    before = slices.select("path_id", "s", (F.sum("sn").over(Window.partitionBy("path_id").orderBy("s").rowsBetween(Window.unboundedPreceding, 0)) - F.col("sn")).alias("b"))
+    upto = F.col("b") + F.sum("n").over(Window.partitionBy("path_id", "s").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    ranked = cut.join(F.broadcast(before), ["path_id", "s"]).withColumn("u", upto)
+    low, high = F.floor((F.col("all") + 1) / 2), F.floor(F.col("all") / 2) + 1
+    at = lambda k: F.max(F.when((F.col("u") >= k) & (F.col("u") - F.col("n") < k), F.col("v")))
+    medians = ranked.groupBy("path_id").agg(((at(low) + at(high)) / 2).alias("median_runtime_ms"))
     budget = lambda k: F.element_at(F.create_map(*[F.lit(x) for p, b in BUDGETS.items() for x in (p, b[k])]), F.col("path_id"))
     return medians.select("path_id", budget(0).alias("neural_model_calls"), budget(1).alias("graph_targets"), budget(2).alias("context_items"), "median_runtime_ms")
 

@@ -114,14 +114,18 @@ def quota_counts(records: DataFrame, quotas: DataFrame, keys: list[str]) -> Data
     return quotas.join(counts, keys, "full").select(*keys, F.coalesce("expected", F.lit(0)).alias("expected"), F.coalesce("actual", F.lit(0)).alias("actual"))
 
 
-def fingerprint(df: DataFrame, columns: list[str], component: str, digits: int = 3) -> DataFrame:
-    """One row (component, rows, sha256) that depends on the rows but not on their order: a two-level hash tree.
+def fingerprint(df: DataFrame, columns: list[str], component: str, levels: tuple[int, ...] = (6, 3)) -> DataFrame:
+    """One row (component, rows, sha256) that depends on the rows but not on their order: a hash tree.
 
-    Rows are hashed where they are and grouped by their first digits, 16**digits leaves; leaves hold hashes only.
+    Rows are hashed where they are and grouped by their first digits, level by level: 16**6 leaves hold hashes only, so that 1e11 rows
+    make about 6,000 in a leaf, and no node has more than 4,096 below it.
     """
     text = F.concat_ws("\u0001", *[F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in columns])
     hashed = df.select(F.sha2(text, 256).alias("h"))
-    leaves = hashed.groupBy(F.substring("h", 1, digits).alias("s")).agg(F.count(F.lit(1)).alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("leaf"))
+    leaves = hashed.groupBy(F.substring("h", 1, levels[0]).alias("s")).agg(F.count(F.lit(1)).alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("leaf"))
+    for digits in levels[1:]:
+        below = F.transform(F.array_sort(F.collect_list(F.struct("s", "leaf"))), lambda x: x["leaf"])
+        leaves = leaves.groupBy(F.substring("s", 1, digits).alias("_s")).agg(F.sum("n").alias("n"), F.sha2(F.array_join(below, ""), 256).alias("leaf")).withColumnRenamed("_s", "s")
     root = leaves.agg(F.sum("n").alias("rows"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("s", "leaf"))), lambda x: x["leaf"]), ""), 256).alias("sha256"))
     return root.select(F.lit(component).alias("component"), F.coalesce("rows", F.lit(0)).alias("rows"), "sha256")
 

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestrand.session import ship_package
 
@@ -148,6 +149,44 @@ def overlap_score(query_terms: str, doc_terms: str) -> Column:
     return F.coalesce(F.try_divide(both, F.size(F.array_union(query_terms, doc_terms))), F.lit(0.0))
 
 
+def rerank_scores(pairs: DataFrame, load: Callable[[], Callable[[list[tuple[str, str]]], Sequence[float]]], keys: list[str], query: str, doc: str, batch: int = 8) -> DataFrame:
+    """keys and reranker_score of pairs of texts by any model: `load` gives the scorer and is called once a task, in the Python worker.
+
+    The scorer takes lists of at most `batch` (query, document) texts and gives as many numbers in [0, 1]; anything else fails the task.
+    Null texts are empty ones. Extra columns are ignored.
+    """
+    ship_package(pairs.sparkSession)
+    wanted = pairs.select(*keys, F.coalesce(F.col(query), F.lit("")).alias("_q"), F.coalesce(F.col(doc), F.lit("")).alias("_d"))
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        scorer = None
+        for pdf in batches:
+            scorer = scorer or load()
+            texts, out = list(zip(pdf["_q"], pdf["_d"], strict=True)), []
+            for begin in range(0, len(texts), batch):
+                part = texts[begin : begin + batch]
+                got = [float(x) for x in scorer(part)]
+                if len(got) != len(part) or not all(0.0 <= x <= 1.0 for x in got):
+                    raise ValueError("a scorer must give one number in [0, 1] for each pair")
+                out += got
+            yield pdf[keys].assign(reranker_score=out)
+
+    schema = T.StructType([*[f for f in wanted.select(*keys).schema.fields], T.StructField("reranker_score", T.DoubleType())])
+    return wanted.mapInPandas(score, schema)
+
+
+def rerank_issues(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(question_id, code) of a reranked stage (question_id, source_id, reranker_score) against the one it came from: sources lost, added or
+    repeated, scores missing or outside the unit interval."""
+    key = ["question_id", "source_id"]
+    a, b = before.groupBy(*key).agg(F.count(F.lit(1)).alias("n")), after.groupBy(*key).agg(F.count(F.lit(1)).alias("m"), F.count_if(~F.coalesce(F.col("reranker_score").between(0, 1) & ~F.isnan("reranker_score"), F.lit(False))).alias("bad"))
+    sums = a.join(b, key, "full").groupBy("question_id").agg(F.count_if(F.col("m").isNull()).alias("lost"), F.count_if(F.col("n").isNull()).alias("added"), F.count_if("m > n").alias("repeated"), F.sum("bad").alias("bad"))
+    codes = F.array_compact(F.array(
+        F.when(F.col("lost") > 0, F.lit("E_SOURCE_LOST")), F.when(F.col("added") > 0, F.lit("E_SOURCE_ADDED")), F.when(F.col("repeated") > 0, F.lit("E_EVIDENCE_ID_DUPLICATE")), F.when(F.col("bad") > 0, F.lit("E_RERANKER_SCORE")),
+    ))
+    return sums.select("question_id", F.explode(codes).alias("code"))
+
+
 def first_stage_issues(stage: DataFrame, depth: int = 50) -> DataFrame:
     """(question_id, code): questions whose first stage has too many rows, gaps in its ranks or repeated sources."""
     sums = stage.groupBy("question_id").agg(

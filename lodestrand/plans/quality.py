@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrand.functions.text import slug as slugged
-from lodestrand.operators import annotation, quality, structure
+from lodestrand.operators import annotation, contracts, quality, structure
 from lodestrand.plans import sql
 from lodestrand.plans.evaluation_sql import ANN, OUTCOMES
-from lodestrand.plans.retrieval import Inputs, path_units
+from lodestrand.plans.retrieval import Inputs, path_sidecars, path_units
 from lodestrand.session import table
 from lodestrand.sources import tables
 
@@ -83,6 +83,26 @@ def authoring_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.authoring_issues(q, s, structure.relation_edges(s), evidence)
 
 
+def specification_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Broken contracts of the evidence that final labels require of each question, or find sufficient."""
+    labels = tables.final_labels(spark, sf_dir)
+    of = lambda label: F.collect_set(F.when(F.col("label") == label, F.col("evidence_id")))
+    sets = labels.groupBy("question_id").agg(of("REQUIRED").alias("required_source_ids"), of("SUFFICIENT").alias("sufficient_source_ids"))
+    q = tables.questions(spark, sf_dir, "category").select("question_id", F.coalesce(F.col("category") == "evidence_insufficient", F.lit(False)).alias("insufficiency_candidate"))
+    return quality.violations(sets.join(q, "question_id"), "specification", "question_id", contracts.specification_rules())
+
+
+def run_contract_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Broken contracts of the units and sidecars of all six paths, counted by path and code."""
+    inputs = Inputs(spark, sf_dir, kept=True)
+    parts = []
+    for p, modules in structure.MODULES.items():
+        parts.append(quality.violations(path_units(p, inputs).withColumn("key", F.concat_ws("/", "question_id", "rank")), p, "key", contracts.unit_rules()))
+        if modules[1]:
+            parts.append(quality.violations(path_sidecars(p, inputs).withColumn("key", F.concat_ws("/", "question_id", "sidecar_id")), p, "key", contracts.sidecar_rules()))
+    return reduce(DataFrame.unionByName, parts).groupBy(F.col("entity").alias("path_id"), "code").agg(F.count(F.lit(1)).alias("records"))
+
+
 def label_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each path: ranked evidence with and without a label, and labels without ranked evidence."""
     inputs = Inputs(spark, sf_dir, kept=True)
@@ -136,7 +156,7 @@ def privacy_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        contract_violations, redelivered, redelivery_changes, dataset_issues, category_quotas, annotation_questions, authoring_issues, label_coverage, blinded_payload, candidate_structures, scope_candidates, prior_flags,
+        contract_violations, redelivered, redelivery_changes, dataset_issues, category_quotas, annotation_questions, authoring_issues, specification_issues, run_contract_issues, label_coverage, blinded_payload, candidate_structures, scope_candidates, prior_flags,
         fingerprint, rotation_chain, privacy_scan,
     )
 }
@@ -192,6 +212,11 @@ SQL = {
         case when n > 0 and coalesce(missing, false) then 'E_EVIDENCE_SOURCE_UNRESOLVED' end, case when n > 0 and category = 'direct_clause' and not direct then 'E_DIRECT_STRUCTURE' end,
         case when n > 0 and category = 'parent_heading_context' and not context then 'E_CONTEXT_STRUCTURE' end, case when n > 0 and category = 'table_related' and not tabled then 'E_TABLE_STRUCTURE' end,
         case when n > 0 and category = 'citation_dependency' and not graph then 'E_GRAPH_STRUCTURE' end], lambda x: x is not null)) as code from per""",
+    "specification_issues": f"""with {OUTCOMES},
+      s as (select question_id, list(distinct evidence_id) filter (label = 'REQUIRED') as r, list(distinct evidence_id) filter (label = 'SUFFICIENT') as u from labels group by 1),
+      x as (select question_id, coalesce(len(r), 0) as nr, coalesce(len(u), 0) as nu, coalesce(len(list_intersect(r, u)), 0) as nb, insufficient from s join specs using (question_id))
+      select 'specification' as entity, question_id as record_id, unnest(list_filter([case when nr > 20 then 'E_REQUIRED_IDS' end, case when nu > 20 then 'E_SUFFICIENT_IDS' end, case when nb > 0 then 'E_ROLE_OVERLAP' end,
+        case when nr + nu = 0 and not insufficient then 'E_EVIDENCE_MISSING' end, case when nr + nu > 0 and insufficient then 'E_INSUFFICIENT_WITH_EVIDENCE' end], lambda x: x is not null)) as code from x""",
     "label_coverage": f"""with {sql.PATHS}, {OUTCOMES}, units as ({" union all ".join(f"select question_id, '{p}' as path_id, source_id as evidence_id from {sql._units(m)}" for p, m in structure.MODULES.items())}),
       l as (select question_id, path_id, evidence_id, 1 as l from labels where evidence_kind = 'ranked')
       select path_id, count(*) filter (u = 1 and l = 1) as labelled, count(*) filter (l is null) as unlabelled, count(*) filter (u is null) as unused_labels from (select *, 1 as u from units) full join l using (question_id, path_id, evidence_id) group by 1""",
@@ -213,7 +238,8 @@ SQL = {
     "fingerprint": f"""with {sql.EDGES}, h as (
         select 'sections' as component, sha256(concat_ws(chr(1), source_id, coalesce(domain, chr(0)), coalesce(document_id, chr(0)), coalesce(heading, chr(0)), coalesce(content, chr(0)))) as h from secs
         union all select 'edges', sha256(concat_ws(chr(1), source_id, target_id, relation)) from edges),
-      l as (select component, left(h, 3) as s, count(*) as n, sha256(array_to_string(list_sort(list(h)), '')) as leaf from h group by all)
+      d as (select component, left(h, 6) as s, count(*) as n, sha256(array_to_string(list_sort(list(h)), '')) as leaf from h group by all),
+      l as (select component, left(s, 3) as s, sum(n) as n, sha256(array_to_string(list(leaf order by s), '')) as leaf from d group by component, left(s, 3))
       select component, cast(sum(n) as bigint) as rows, sha256(array_to_string(list(leaf order by s), '')) as sha256 from l group by 1""",
     "rotation_chain": """with o as (select distinct batch_id, outer_test_fold, calibration_fold from fold_partitions),
       l as (select *, lag(calibration_fold) over (partition by batch_id order by outer_test_fold) as b from o)

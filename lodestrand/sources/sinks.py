@@ -14,6 +14,7 @@ from pathlib import Path
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def canonical(value: Any) -> str:
@@ -62,14 +63,23 @@ class TableCache:
         target = jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")
         return target.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(target)
 
+    @staticmethod
+    def _mark(df: DataFrame) -> tuple:
+        """The number of rows and two sums of their hashes: the same for the same rows in any order."""
+        text = F.to_json(F.struct(*df.columns))
+        h = [F.sum(F.xxhash64(F.lit(seed), text).cast("decimal(38,0)")) for seed in (1, 2)]
+        return tuple(df.agg(F.count(F.lit(1)), *h).first())
+
     def get(self, key: Mapping[str, str]) -> DataFrame | None:
         """The table of a key, or None."""
         path = self.path(key)
         return self.spark.read.parquet(path) if self._there(path) else None
 
     def put(self, key: Mapping[str, str], df: DataFrame) -> DataFrame:
-        """The table of a key, written unless it is there."""
+        """The table of a key, written unless it is there; other rows under a key that is there are refused."""
         if (kept := self.get(key)) is not None:
+            if kept.schema.simpleString() != df.schema.simpleString() or self._mark(kept) != self._mark(df):
+                raise FileExistsError(self.path(key))
             return kept
         df.write.mode("errorifexists").parquet(self.path(key))
         return self.spark.read.parquet(self.path(key))
