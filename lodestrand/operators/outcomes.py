@@ -166,60 +166,68 @@ def route_features(questions: DataFrame, scores: DataFrame, metadata: DataFrame,
     return shared.crossJoin(F.broadcast(priced))  # one row a path
 
 
-def selective_routes(probabilities: DataFrame, costs: DataFrame, threshold: float | None) -> DataFrame:
+def selective_routes(probabilities: DataFrame, costs: DataFrame, threshold: float | None, thresholds: DataFrame | None = None, by: str | None = None) -> DataFrame:
     """The cheapest path of each question whose probability reaches the threshold, else abstention; and the route taken without abstention.
 
     probabilities: question_id, path_id, p. Without a threshold every question abstains and, unabstaining, takes the
-    likeliest path (the threshold counts as 1).
+    likeliest path (the threshold counts as 1). With `thresholds` (by, threshold; one row a group) each group has its own.
     """
     joined = probabilities.join(F.broadcast(costs), "path_id")
-    enough = F.col("p") >= F.lit(threshold if threshold is not None else float("inf"))
-    fallback = F.col("p") >= F.lit(threshold if threshold is not None else 1.0)
-    best = joined.groupBy("question_id").agg(
+    keys = ["question_id"] + ([by] if by else [])
+    if thresholds is not None:
+        joined = joined.join(F.broadcast(thresholds.select(by, F.col("threshold").alias("_t"))), by, "left")
+    else:
+        joined = joined.withColumn("_t", F.lit(threshold).cast("double"))
+    enough = F.col("p") >= F.coalesce("_t", F.lit(float("inf")))
+    fallback = F.col("p") >= F.coalesce("_t", F.lit(1.0))
+    best = joined.groupBy(*keys).agg(
         F.min(F.when(enough, cost_order())).alias("b"), F.min(F.when(fallback, cost_order())).alias("f"), F.min(F.struct((-F.col("p")).alias("np"), cost_order().alias("c"))).alias("m")
     )
-    return best.select("question_id", F.col("b.path_id").alias("selected_path_id"), F.col("b").isNull().alias("abstained"), F.coalesce("f.path_id", "m.c.path_id").alias("no_abstention_path_id"))
+    return best.select(*keys, F.col("b.path_id").alias("selected_path_id"), F.col("b").isNull().alias("abstained"), F.coalesce("f.path_id", "m.c.path_id").alias("no_abstention_path_id"))
 
 
-def threshold_table(probabilities: DataFrame, outcomes: DataFrame, costs: DataFrame) -> DataFrame:
+def threshold_table(probabilities: DataFrame, outcomes: DataFrame, costs: DataFrame, by: str | None = None) -> DataFrame:
     """(threshold, accepted, failures): for every distinct probability, how many questions take a path and how many of these fail.
 
     A question's route changes only where its cheapest eligible path drops out: it takes path x for thresholds above the
     greatest probability of any cheaper path and up to p(x). So each (question, path) is an interval, and counts by
     threshold are running sums over interval ends: two aggregations and prefix sums, no pairing of thresholds with questions.
+    by: a column of the probabilities, each value of which has a table of its own; all are made in one plan.
     """
+    keys = [by] if by else []
     rows = probabilities.join(outcomes.select(*KEY, F.col("combined_path_success").alias("ok")), KEY).join(F.broadcast(costs), "path_id")
-    cheaper = Window.partitionBy("question_id").orderBy("neural_model_calls", "graph_targets", "context_items", "median_runtime_ms", "path_id").rowsBetween(Window.unboundedPreceding, -1)
+    cheaper = Window.partitionBy("question_id", *keys).orderBy("neural_model_calls", "graph_targets", "context_items", "median_runtime_ms", "path_id").rowsBetween(Window.unboundedPreceding, -1)
     spans = rows.withColumn("above", F.max("p").over(cheaper)).where("above is null or p > above")
-    ends = spans.select(F.explode(F.array(
+    ends = spans.select(*keys, F.explode(F.array(
         F.struct(F.col("p").alias("at"), F.lit(1).alias("n"), (~F.col("ok")).cast("int").alias("bad")),
         F.struct(F.col("above").alias("at"), F.lit(-1).alias("n"), (-(~F.col("ok")).cast("int")).alias("bad")),
-    )).alias("e")).where("e.at is not null").groupBy("e.at").agg(F.sum("e.n").alias("n"), F.sum("e.bad").alias("bad"))
-    points = probabilities.select(F.col("p").alias("at")).distinct().join(ends, "at", "left")
-    return _running_from_top(points.select("at", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("bad", F.lit(0)).alias("bad")))
+    )).alias("e")).where("e.at is not null").groupBy(*keys, "e.at").agg(F.sum("e.n").alias("n"), F.sum("e.bad").alias("bad"))
+    points = probabilities.select(*keys, F.col("p").alias("at")).distinct().join(ends, [*keys, "at"], "left")
+    return _running_from_top(points.select(*keys, "at", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("bad", F.lit(0)).alias("bad")), keys)
 
 
 SLICES = 1_000
 
 
-def _running_from_top(points: DataFrame) -> DataFrame:
-    """Sums of n and bad over all points at or above each one, taken in at most SLICES slices of the unit interval."""
+def _running_from_top(points: DataFrame, keys: list[str]) -> DataFrame:
+    """Sums of n and bad over all points of a group at or above each one, taken in at most SLICES slices of the unit interval."""
     cut = points.withColumn("_s", F.least(F.lit(SLICES - 1), F.floor(F.col("at") * SLICES)).cast("int"))
-    total = cut.groupBy("_s").agg(F.sum("n").alias("sn"), F.sum("bad").alias("sb"))
-    above = Window.orderBy(F.desc("_s")).rowsBetween(Window.unboundedPreceding, -1)  # over at most SLICES rows
-    offsets = total.select("_s", F.coalesce(F.sum("sn").over(above), F.lit(0)).alias("on"), F.coalesce(F.sum("sb").over(above), F.lit(0)).alias("ob"))
-    inside = Window.partitionBy("_s").orderBy(F.desc("at")).rowsBetween(Window.unboundedPreceding, 0)
-    return cut.join(F.broadcast(offsets), "_s").select(
-        F.col("at").alias("threshold"), (F.col("on") + F.sum("n").over(inside)).alias("accepted"), (F.col("ob") + F.sum("bad").over(inside)).alias("failures")
+    total = cut.groupBy(*keys, "_s").agg(F.sum("n").alias("sn"), F.sum("bad").alias("sb"))
+    above = Window.partitionBy(*keys).orderBy(F.desc("_s")).rowsBetween(Window.unboundedPreceding, -1)  # over at most SLICES rows
+    offsets = total.select(*keys, "_s", F.coalesce(F.sum("sn").over(above), F.lit(0)).alias("on"), F.coalesce(F.sum("sb").over(above), F.lit(0)).alias("ob"))
+    inside = Window.partitionBy(*keys, "_s").orderBy(F.desc("at")).rowsBetween(Window.unboundedPreceding, 0)
+    return cut.join(F.broadcast(offsets), [*keys, "_s"]).select(
+        *keys, F.col("at").alias("threshold"), (F.col("on") + F.sum("n").over(inside)).alias("accepted"), (F.col("ob") + F.sum("bad").over(inside)).alias("failures")
     )
 
 
-def select_threshold(table: DataFrame, least: int = 10, most: float = 0.10) -> DataFrame:
-    """One row: the smallest threshold with enough accepted questions and few enough failures, or forced abstention."""
+def select_threshold(table: DataFrame, least: int = 10, most: float = 0.10, by: str | None = None) -> DataFrame:
+    """One row (one a group with a valid threshold, if `by` names the groups): the smallest threshold with enough accepted questions and few enough failures, or forced abstention."""
     valid = table.where((F.col("accepted") >= least) & (F.col("failures") <= most * F.col("accepted") + 1e-12))
-    best = valid.agg(F.min_by(F.struct("threshold", "accepted", "failures"), "threshold").alias("b"))
+    keys = [by] if by else []
+    best = valid.groupBy(*keys).agg(F.min_by(F.struct("threshold", "accepted", "failures"), "threshold").alias("b"))
     return best.select(
-        F.col("b.threshold").alias("threshold"), F.col("b").isNull().alias("force_abstain"), F.coalesce("b.accepted", F.lit(0)).alias("accepted_count"), F.round(F.col("b.failures") / F.col("b.accepted"), 9).alias("failure_rate")
+        *keys, F.col("b.threshold").alias("threshold"), F.col("b").isNull().alias("force_abstain"), F.coalesce("b.accepted", F.lit(0)).alias("accepted_count"), F.round(F.col("b.failures") / F.col("b.accepted"), 9).alias("failure_rate")
     )
 
 

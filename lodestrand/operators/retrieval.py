@@ -180,7 +180,7 @@ def rerank_issues(before: DataFrame, after: DataFrame) -> DataFrame:
     repeated, scores missing or outside the unit interval."""
     key = ["question_id", "source_id"]
     a, b = before.groupBy(*key).agg(F.count(F.lit(1)).alias("n")), after.groupBy(*key).agg(F.count(F.lit(1)).alias("m"), F.count_if(~F.coalesce(F.col("reranker_score").between(0, 1) & ~F.isnan("reranker_score"), F.lit(False))).alias("bad"))
-    sums = a.join(b, key, "full").groupBy("question_id").agg(F.count_if(F.col("m").isNull()).alias("lost"), F.count_if(F.col("n").isNull()).alias("added"), F.count_if("m > n").alias("repeated"), F.sum("bad").alias("bad"))
+    sums = a.join(b, key, "full").groupBy("question_id").agg(F.count_if(F.col("m").isNull()).alias("lost"), F.count_if(F.col("n").isNull()).alias("added"), F.count_if(F.col("m") > F.col("n")).alias("repeated"), F.sum("bad").alias("bad"))
     codes = F.array_compact(F.array(
         F.when(F.col("lost") > 0, F.lit("E_SOURCE_LOST")), F.when(F.col("added") > 0, F.lit("E_SOURCE_ADDED")), F.when(F.col("repeated") > 0, F.lit("E_EVIDENCE_ID_DUPLICATE")), F.when(F.col("bad") > 0, F.lit("E_RERANKER_SCORE")),
     ))

@@ -8,11 +8,10 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -183,22 +182,26 @@ def _numbers(features: DataFrame) -> list[str]:
     return sorted(f.name for f in features.schema.fields if isinstance(f.dataType, T.NumericType))
 
 
-def _decide(scored: DataFrame, results: DataFrame, costs: DataFrame, calibrated: Column, tested: Column, group: int) -> DataFrame:
-    """Routes of the tested rows at the threshold that the calibrated rows give."""
-    columns = ["question_id", "path_id", "p"]
-    table = outcomes.threshold_table(scored.where(calibrated).select(columns), results, costs)
-    chosen = outcomes.select_threshold(table).first()
-    routes = outcomes.selective_routes(scored.where(tested).select(columns), costs, chosen["threshold"])
+def _decide(scored: DataFrame, results: DataFrame, costs: DataFrame, calibrated: str, tested: str) -> DataFrame:
+    """Routes of the tested part of each _group at the threshold that its calibrated part gives; all groups in one plan.
+
+    Only the thresholds, one row a group, are broadcast. A group without a valid threshold abstains.
+    """
+    columns = ["question_id", "path_id", "p", F.col("_group").alias("fold")]
+    table = outcomes.threshold_table(scored.where(F.col("_part") == calibrated).select(columns), results, costs, by="fold")
+    chosen = materialize(outcomes.select_threshold(table, by="fold"))
+    routes = outcomes.selective_routes(scored.where(F.col("_part") == tested).select(columns), costs, None, chosen, by="fold")
     won = results.select("question_id", "path_id", F.col("combined_path_success").alias("w"))
     picked = routes.join(won.withColumnRenamed("path_id", "selected_path_id"), ["question_id", "selected_path_id"], "left").withColumnRenamed("w", "won")
     both = picked.join(won.withColumnRenamed("path_id", "no_abstention_path_id"), ["question_id", "no_abstention_path_id"], "left")
+    both = both.join(F.broadcast(chosen.select("fold", "threshold")), "fold", "left")
     return both.select(
-        "question_id", F.lit(group).alias("fold"), "selected_path_id", "abstained", F.coalesce("won", F.lit(False)).alias("combined_path_success"), "no_abstention_path_id",
-        F.coalesce("w", F.lit(False)).alias("no_abstention_success"), F.lit(chosen["threshold"]).cast("double").alias("threshold"), F.lit(chosen["force_abstain"]).alias("force_abstain"),
+        "question_id", "fold", "selected_path_id", "abstained", F.coalesce("won", F.lit(False)).alias("combined_path_success"), "no_abstention_path_id",
+        F.coalesce("w", F.lit(False)).alias("no_abstention_success"), "threshold", F.col("threshold").isNull().alias("force_abstain"),
     )
 
 
-def pooled_oof(features: DataFrame, results: DataFrame, rotated: DataFrame, costs: DataFrame, kind: str, folds: int = 5) -> DataFrame:
+def pooled_oof(features: DataFrame, results: DataFrame, rotated: DataFrame, costs: DataFrame, kind: str) -> DataFrame:
     """One decision a question: routes of each fold by a model that never saw it, at a threshold from the calibration fold.
 
     features: question_id, domain, path_id and numbers; results: question_id, path_id, combined_path_success; rotated:
@@ -210,8 +213,7 @@ def pooled_oof(features: DataFrame, results: DataFrame, rotated: DataFrame, cost
     rows = materialize(features.join(labelled, ["question_id", "path_id"]).join(rotated.withColumnRenamed("part", "_part"), "question_id"))
     models = fit_by(rows.where("_part <> 'test'"), "outer_test_fold", numbers, texts, kind)
     scored = materialize(score_by(rows.where("_part <> 'train'").where(F.col("outer_test_fold").isin(*models)), "outer_test_fold", models, numbers, texts))
-    part = lambda k, p: (F.col("_group") == k) & (F.col("_part") == p)
-    return reduce(DataFrame.unionByName, [_decide(scored, results, costs, part(k, "calibration"), part(k, "test"), k) for k in range(folds)])
+    return _decide(scored, results, costs, "calibration", "test")
 
 
 def transfer(features: DataFrame, results: DataFrame, assigned: DataFrame, costs: DataFrame, source: str, target: str, kind: str, folds: int = 5) -> DataFrame:
@@ -230,13 +232,13 @@ def transfer(features: DataFrame, results: DataFrame, assigned: DataFrame, costs
     held = fit_by(each.where("_part = 'train'"), "g", numbers, texts, "logistic" if kind == "logistic" else "boosted")
     for model in held.values():
         model.pop("platt", None)
-    oof = materialize(score_by(each.where("_part = 'test'").where(F.col("g").isin(*held)), "g", held, numbers, texts))
+    oof = materialize(score_by(each.where("_part = 'test'").where(F.col("g").isin(*held)), "g", held, numbers, texts)).withColumn("_group", F.lit(0))
     whole = mine.withColumn("g", F.lit(0)).withColumn("_part", F.lit("train"))
     final = fit_by(whole, "g", numbers, texts, kind)
     final[0].pop("platt", None)
     goal = rows.where(F.col("domain") == target).withColumn("g", F.lit(0)).withColumn("_part", F.lit("target"))
     scored = oof.withColumn("_part", F.lit("source")).unionByName(score_by(goal, "g", final, numbers, texts))
-    return _decide(materialize(scored), results, costs, F.col("_part") == "source", F.col("_part") == "target", 0).drop("fold")
+    return _decide(materialize(scored), results, costs, "source", "target").drop("fold")
 
 
 def late_signals(decisions: DataFrame, heuristic: DataFrame, results: DataFrame, costs: DataFrame) -> DataFrame:
