@@ -95,9 +95,15 @@ def freeze(folder: str | Path, parts: Mapping[str, list[dict]], facts: Mapping[s
         if json.loads(place.read_text(encoding="utf-8")) == manifest:
             return manifest
         raise FileExistsError(folder)
+    if folder.exists() and any(folder.iterdir()):
+        raise FileExistsError(folder)
+    # Staged beside its place and moved there as a whole, so that a crash leaves nothing that looks frozen.
+    folder.parent.mkdir(parents=True, exist_ok=True)
+    staged = Path(tempfile.mkdtemp(dir=folder.parent, prefix=f".{folder.name}"))
     for name, rows in parts.items():
-        write_atomic(folder / f"{name}.json", rows, overwrite=False)
-    write_atomic(place, manifest, overwrite=False)
+        write_atomic(staged / f"{name}.json", rows, overwrite=False)
+    write_atomic(staged / "manifest.json", manifest, overwrite=False)
+    os.replace(staged, folder)
     return manifest
 
 

@@ -91,7 +91,9 @@ def test_sinks(tmp_path, spark):
     with pytest.raises(ValueError):
         sinks.ledger_append(ledger, {"why": "w"})
     cache = sinks.TableCache(spark, str(tmp_path / "cache"))
-    assert cache.get({"a": "1"}) is None and cache.put({"a": "1"}, spark.range(3)).count() == 3 and cache.put({"a": "1"}, spark.range(9)).count() == 3
+    assert cache.get({"a": "1"}) is None and cache.put({"a": "1"}, spark.range(3)).count() == 3 and cache.put({"a": "1"}, spark.range(3)).count() == 3
+    with pytest.raises(FileExistsError):
+        cache.put({"a": "1"}, spark.range(9))
 
 
 def test_schema_export(tmp_path):
